@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("q_sources", "q_joins")
+MODULES = ("q_sources", "q_joins", "q_stats")
 
 
 def load_all() -> None:

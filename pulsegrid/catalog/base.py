@@ -128,14 +128,12 @@ EVENT_DAYS = (
 
 
 def calendar(spark: SparkSession) -> DataFrame:
-    rows = [
-        (0, 0, "2024-01-03", "2024-01-05", "early"),
-        (1, 0, "2024-01-15", "2024-01-17", "mid"),
-        (2, 1, "2024-01-08", "2024-01-09", "second"),
-        (3, 1, "2024-01-20", "2024-01-24", "late"),
-    ]
-    df = spark.createDataFrame(rows, "seq int, group int, start string, end string, name string")
-    return df.withColumns({c: F.col(c).cast("date") for c in ("start", "end")})
+    return spark.sql(
+        """SELECT * FROM VALUES
+        (0, 0, date '2024-01-03', date '2024-01-05', 'early'), (1, 0, date '2024-01-15', date '2024-01-17', 'mid'),
+        (2, 1, date '2024-01-08', date '2024-01-09', 'second'), (3, 1, date '2024-01-20', date '2024-01-24', 'late')
+        AS calendar(seq, `group`, start, end, name)"""
+    )
 
 
 CALENDAR = (

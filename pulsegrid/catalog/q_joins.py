@@ -197,7 +197,7 @@ def _asof_sql(by_user: bool, tolerance: str, body: str) -> str:
     "j08_nearest_asof",
     _asof_sql(
         True,
-        "7200 * 1000000",
+        "7200000000",
         f"""SELECT user_id, ts, event_id, {r('value_left')} AS value_left, ts_right, {r('value_right')} AS value_right,
         {r('abs(epoch_us(ts) - epoch_us(ts_right)) / 1000000.0')} AS gap_s FROM k""",
     ),
@@ -211,7 +211,7 @@ def j08(spark, d):
     "g27_overlap_correlation",
     _asof_sql(
         False,
-        "120 * 1000000",
+        "120000000",
         f"""SELECT count(*) AS aligned_rows, {r('corr(value_left, value_right)')} AS value_r,
         {r('avg(value_left - value_right)')} AS value_mean_diff FROM k""",
     ),
