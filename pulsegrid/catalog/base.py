@@ -12,6 +12,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 DIGITS = 6
+# Added before rounding on both sides, so that a value half-way between two
+# digits does not depend on how an engine rounds it.
+NUDGE = 2.5e-8
 
 
 def query(name: str, sql: str | None = None):
@@ -34,13 +37,18 @@ def query(name: str, sql: str | None = None):
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
     return df.select(
-        *[F.round(F.col(f"`{c}`"), digits).alias(c) if c in floats else F.col(f"`{c}`") for c in df.columns]
+        *[F.round(F.col(f"`{c}`") + F.lit(NUDGE), digits).alias(c) if c in floats else F.col(f"`{c}`") for c in df.columns]
     )
 
 
 def r(expr: str, digits: int = DIGITS) -> str:
     """The same rounding in check SQL; adding 0 turns a negative zero into zero."""
-    return f"(round({expr}, {digits}) + 0.0)"
+    return f"(round({expr} + {NUDGE}, {digits}) + 0.0)"
+
+
+def half_up(expr: str, digits: int) -> str:
+    """Rounding that is part of an operator: half up on the decimal form of the number."""
+    return f"CAST(round(CAST(CAST({expr} AS VARCHAR) AS DECIMAL(38, 12)), {digits}) AS DOUBLE)"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

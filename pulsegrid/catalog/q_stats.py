@@ -12,6 +12,7 @@ from pulsegrid.catalog.base import (
     WIDE_FEATURES,
     event_days,
     events,
+    half_up,
     order_days,
     query,
     r,
@@ -134,10 +135,12 @@ def g09(spark, d):
 
 @query(
     "g10_target_summary",
-    f"WITH {RESPONSES} SELECT user_id, count(*) AS responses, {r('avg(target)', 2)} AS target_mean FROM responses GROUP BY user_id",
+    f"WITH {RESPONSES} SELECT user_id, count(*) AS responses, {half_up('avg(floor(target))', 2)} AS target_mean FROM responses GROUP BY user_id",
 )
 def g10(spark, d):
-    return stats.target_summary(responses(spark, d), "user_id", ["target"])
+    # a slider holds whole numbers
+    q = responses(spark, d).withColumn("target", F.floor("target"))
+    return stats.target_summary(q, "user_id", ["target"])
 
 
 @query(
@@ -211,7 +214,7 @@ def _entity_sql(select: str) -> str:
     l AS (UNPIVOT pu ON {', '.join(WIDE_FEATURES)} INTO NAME column_name VALUE v),
     e AS (SELECT column_name, CAST(sum(n) AS BIGINT) AS total_values, CAST(sum(v) AS BIGINT) AS non_null_values,
     count(*) FILTER (v > 0) AS users_with_data, count(*) AS total_users,
-    {r('sum(v) * 100.0 / sum(n)', 2)} AS completeness_pct FROM l GROUP BY column_name) {select}"""
+    {half_up('CAST(sum(v) AS DOUBLE) * 100 / sum(n)', 2)} AS completeness_pct FROM l GROUP BY column_name) {select}"""
 
 
 @query("g15_entity_completeness", _entity_sql("SELECT * FROM e"))
@@ -268,7 +271,7 @@ def g18(spark, d):
 @query(
     "g19_user_coverage",
     f"""SELECT user_id, count(*) AS rows, count(DISTINCT CAST(ts AS DATE)) AS distinct_days, min(ts) AS first_ts,
-    max(ts) AS last_ts, {r('CAST(count(*) AS DOUBLE) / count(DISTINCT CAST(ts AS DATE))', 1)} AS rows_per_day
+    max(ts) AS last_ts, {half_up('CAST(count(*) AS DOUBLE) / count(DISTINCT CAST(ts AS DATE))', 1)} AS rows_per_day
     FROM events GROUP BY user_id""",
 )
 def g19(spark, d):

@@ -48,6 +48,10 @@ def stage_summary(
     return out
 
 
+def _of_stage(data: Column, stage: str) -> Column:
+    return F.filter(data, lambda s: s["level"] == stage)
+
+
 def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
 
@@ -56,24 +60,29 @@ def _mean(values: Column) -> Column:
     return F.try_divide(_total(values), F.size(values))
 
 
+def _moment(segment: Column) -> Column:
+    return F.unix_micros(segment["dateTime"].try_cast("timestamp"))
+
+
+def _variance(values: Column) -> Column:
+    mean = _mean(values)
+    return _mean(F.transform(values, lambda v: (v - mean) * (v - mean)))
+
+
 def segment_features(levels: Column, stages: Sequence[str] = MAIN_STAGES) -> dict[str, Column]:
     """Number of segments, minutes to the first segment of a stage, duration mean and population
     std per stage (0 for one segment), last stage."""
     data = levels["data"]
     some = F.size(data) > 0
-    moment = lambda seg: F.unix_micros(seg["dateTime"].try_cast("timestamp"))
     out = {"sleep_stage_transitions": F.when(some, F.size(data))}
     for stage in FIRST_STAGES:
-        hits = F.filter(data, lambda s, stage=stage: s["level"] == stage)
+        hits = _of_stage(data, stage)
         out[f"minutes_to_first_{stage}_sleep"] = F.when(
-            F.size(hits) > 0, (moment(F.get(hits, F.lit(0))) - moment(F.get(data, F.lit(0)))) / 60e6
+            F.size(hits) > 0, (_moment(F.get(hits, F.lit(0))) - _moment(F.get(data, F.lit(0)))) / 60e6
         )
     for stage in stages:
-        minutes = F.transform(
-            F.filter(data, lambda s, stage=stage: s["level"] == stage), lambda s: s["seconds"] / 60
-        )
-        mean = _mean(minutes)
-        variance = _mean(F.transform(minutes, lambda m, mean=mean: (m - mean) * (m - mean)))
+        minutes = F.transform(_of_stage(data, stage), lambda s: s["seconds"] / 60)
+        mean, variance = _mean(minutes), _variance(minutes)
         out[f"{stage}_avg_segment_duration_minutes"] = F.when(F.size(minutes) > 0, mean)
         out[f"{stage}_segment_duration_std"] = F.when(F.size(minutes) > 1, F.sqrt(variance)).when(
             F.size(minutes) == 1, F.lit(0.0)
