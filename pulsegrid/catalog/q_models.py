@@ -83,7 +83,7 @@ def m20(spark, d):
 @query("m21_linear_margin")
 def m21(spark, d):
     data = training(spark, d)
-    return _scored(classify.fit_linear_margin(_train(data), "label", 3), data)
+    return _scored(classify.fit_linear_margin(_train(data), "label", 3, maxIter=20), data)
 
 
 @query("m22_naive_bayes")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulsegrid.ml.anomaly import flag_lowest
+from pulsegrid.session import freeze
 
 SEED = 42
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, length double"
@@ -40,12 +41,20 @@ def tree_samples(df: DataFrame, row_id: str, features: Sequence[str], trees: int
     while share < 1.0 and rows.where(F.col("h") < share).count() < min(n, sample):
         share = min(1.0, share * 2)
     pool = rows if share >= 1.0 else rows.where(F.col("h") < share)
+    pool_rows = n if share >= 1.0 else pool.count()
+    each = min(sample, pool_rows)
+    # four times the wanted rows pass a hash threshold per tree; the smallest hashes of those are taken
+    tree_hash = F.xxhash64(F.lit(seed), F.col("tree"), F.col("id"))
     drawn = pool.select(F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "id", "x")
-    order = F.struct(F.xxhash64(F.lit(seed), F.col("tree"), F.col("id")).alias("h"), "id")
-    # the sample-th smallest hash of a tree by a bounded sort per task, then a merge
-    ranked = drawn.withColumn("k", order)
-    w = Window.partitionBy("tree").orderBy("k")
-    return ranked.withColumn("r", F.row_number().over(w)).where(F.col("r") <= sample).select("tree", "id", "x")
+    drawn = drawn.withColumn("k", F.pmod(tree_hash, F.lit(1 << 31)))
+    w = Window.partitionBy("tree").orderBy("k", "id")  # some hundred rows per tree
+    limit = (1 << 31) * 4 * each // max(pool_rows, 1)
+    while True:
+        ranked = drawn.where(F.col("k") < limit).withColumn("r", F.row_number().over(w))
+        chosen = freeze(ranked.where(F.col("r") <= each).select("tree", "id", "x"))
+        if limit >= (1 << 31) or chosen.count() == trees * each:
+            return chosen
+        limit *= 4
 
 
 def _grow(pdf: pd.DataFrame, seed: int) -> pd.DataFrame:
@@ -128,4 +137,6 @@ def isolation_forest(
 ) -> DataFrame:
     """Adds ``score``, ``is_anomaly`` and ``anomaly``. Features are expected complete (see ``impute_median``)."""
     forest = fit_forest(df, row_id, features, trees, sample, seed)
-    return flag_lowest(df.withColumn("score", score_column(df, forest)), "score", contamination)
+    # the threshold and the result both read the scores, so they are written once
+    scored = freeze(df.withColumn("score", score_column(df, forest)))
+    return flag_lowest(scored, "score", contamination)

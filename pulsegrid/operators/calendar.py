@@ -71,10 +71,15 @@ def _facts_by_day(days: DataFrame, calendar: DataFrame, inclusive_next: bool) ->
     def marks(col: str) -> DataFrame:
         return calendar.select(F.col("group").alias("__g"), F.col(col).alias("__d"), F.col(col).alias("__m")).distinct()
 
-    # a range frame by day number: rows of the same day are peers
-    by_day = Window.partitionBy("__g").orderBy(F.datediff("__d", F.lit("1970-01-01").cast("date")))
-    ahead = by_day.rangeBetween(0 if inclusive_next else 1, Window.unboundedFollowing)
-    behind = by_day.rangeBetween(Window.unboundedPreceding, -1)
+    # Range frames over the day number, so that rows of one day are peers. Looking ahead is looking
+    # back in reverse order, where the frame grows row by row.
+    number = F.datediff("__d", F.lit("1970-01-01").cast("date"))
+    behind = Window.partitionBy("__g").orderBy(number).rangeBetween(Window.unboundedPreceding, -1)
+    ahead = (
+        Window.partitionBy("__g")
+        .orderBy(-number)
+        .rangeBetween(Window.unboundedPreceding, 0 if inclusive_next else -1)
+    )
     starts, ends = marks("start"), marks("end")
     query = days.withColumn("__m", F.lit(None).cast("date"))
     nxt = (

@@ -108,18 +108,21 @@ def neighbours(
 ) -> DataFrame:
     """For each column the last non-null value up to, and the first from, the current row.
 
-    ``cols`` maps a column to the two output names ``(previous, next)``.
+    ``cols`` maps a column to the two output names ``(previous, next)``; ``order`` is ascending. The
+    next value is the last one seen in reverse order: a frame that ends at the current row is
+    extended row by row, one that begins there is evaluated anew for each row.
     """
     if fits_one_task(df, keys):
-        w = Window.partitionBy(*keys).orderBy(*order)
-        back, ahead = _unbounded_to(w, 0), w.rowsBetween(0, Window.unboundedFollowing)
+        by = Window.partitionBy(*keys)
+        back = _unbounded_to(by.orderBy(*order), 0)
+        ahead = _unbounded_to(by.orderBy(*[c.desc() for c in order]), 0)
         return df.withColumns(
             {p: F.last(c, ignorenulls=True).over(back) for c, (p, _) in cols.items()}
-            | {n: F.first(c, ignorenulls=True).over(ahead) for c, (_, n) in cols.items()}
+            | {n: F.last(c, ignorenulls=True).over(ahead) for c, (_, n) in cols.items()}
         )
     parts = range_chunks(df, keys, order)
-    w = Window.partitionBy(CHUNK, *keys).orderBy(POS)
-    back, ahead = _unbounded_to(w, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    by = Window.partitionBy(CHUNK, *keys)
+    back, ahead = _unbounded_to(by.orderBy(POS), 0), _unbounded_to(by.orderBy(F.col(POS).desc()), 0)
     edges = parts.groupBy(CHUNK, *keys).agg(
         *[
             agg(c, F.when(F.col(c).isNotNull(), F.col(POS))).alias(f"{side}_{c}")
@@ -127,17 +130,18 @@ def neighbours(
             for side, agg in (("__last", F.max_by), ("__first", F.min_by))
         ]
     )
-    over_keys = Window.partitionBy(*keys).orderBy(CHUNK)
-    before, after = _unbounded_to(over_keys, -1), over_keys.rowsBetween(1, Window.unboundedFollowing)
+    over_keys = Window.partitionBy(*keys)
+    before = _unbounded_to(over_keys.orderBy(CHUNK), -1)
+    after = _unbounded_to(over_keys.orderBy(F.col(CHUNK).desc()), -1)
     carry = edges.select(
         CHUNK,
         *keys,
         *[F.last(f"__last_{c}", ignorenulls=True).over(before).alias(f"__cp_{c}") for c in cols],
-        *[F.first(f"__first_{c}", ignorenulls=True).over(after).alias(f"__cn_{c}") for c in cols],
+        *[F.last(f"__first_{c}", ignorenulls=True).over(after).alias(f"__cn_{c}") for c in cols],
     ).where(" or ".join(f"`__cp_{c}` is not null or `__cn_{c}` is not null" for c in cols))
     local = parts.withColumns(
         {f"__lp_{c}": F.last(c, ignorenulls=True).over(back) for c in cols}
-        | {f"__ln_{c}": F.first(c, ignorenulls=True).over(ahead) for c in cols}
+        | {f"__ln_{c}": F.last(c, ignorenulls=True).over(ahead) for c in cols}
     )
     return local.join(F.broadcast(carry), [CHUNK, *keys], "left").select(
         *df.columns,
