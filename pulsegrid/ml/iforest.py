@@ -14,7 +14,8 @@ from pulsegrid.ml.anomaly import flag_lowest
 from pulsegrid.session import freeze
 
 SEED = 42
-NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, length double"
+# the children of node i are 2 i + 1 and 2 i + 2; a leaf has feature -1
+NODE_SCHEMA = "tree int, node int, feature int, threshold double, length double"
 
 
 def average_path(n):
@@ -65,36 +66,56 @@ def _grow(pdf: pd.DataFrame, seed: int) -> pd.DataFrame:
     limit = int(np.ceil(np.log2(max(len(x), 2))))
     nodes: list[tuple] = []
     todo = [(0, np.arange(len(x)), 0)]
-    count = 1
     while todo:
         node, rows, depth = todo.pop()
         part = x[rows]
         low, high = part.min(0), part.max(0)
         usable = np.flatnonzero(high > low)
         if depth >= limit or len(rows) <= 1 or not len(usable):
-            nodes.append((tree, node, -1, 0.0, -1, -1, depth + float(average_path(len(rows)))))
+            nodes.append((tree, node, -1, 0.0, depth + float(average_path(len(rows)))))
             continue
         f = int(rng.choice(usable))
         cut = float(rng.uniform(low[f], high[f]))
         go_left = part[:, f] <= cut
-        nodes.append((tree, node, f, cut, count, count + 1, 0.0))
-        todo += [(count, rows[go_left], depth + 1), (count + 1, rows[~go_left], depth + 1)]
-        count += 2
-    return pd.DataFrame(nodes, columns=["tree", "node", "feature", "threshold", "left", "right", "length"])
+        nodes.append((tree, node, f, cut, 0.0))
+        todo += [(2 * node + 1, rows[go_left], depth + 1), (2 * node + 2, rows[~go_left], depth + 1)]
+    return pd.DataFrame(nodes, columns=["tree", "node", "feature", "threshold", "length"])
+
+
+def _full_tree(nodes: pd.DataFrame, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features and thresholds of a complete tree and the path length at each of its bottom leaves.
+
+    A leaf above the bottom sends everything to the left, and its length stands
+    at the bottom leaf that is reached this way.
+    """
+    inner = (1 << depth) - 1
+    feature, threshold = np.zeros(inner, dtype=np.int32), np.full(inner, np.inf)
+    length = np.zeros(1 << depth)
+    for node, f, cut, path in nodes[["node", "feature", "threshold", "length"]].itertuples(index=False):
+        if f >= 0:
+            feature[node], threshold[node] = f, cut
+        else:
+            while node < inner:
+                node = 2 * node + 1
+            length[node - inner] = path
+    return feature, threshold, length
 
 
 def fit_forest(
     df: DataFrame, row_id: str, features: Sequence[str], trees: int = 100, sample: int = 256, seed: int = SEED
 ) -> dict:
-    """The forest as arrays: at most ``trees * (4 * sample)`` nodes, whatever the size of the table."""
+    """The forest as arrays: fewer than ``4 * sample`` nodes per tree, whatever the size of the table."""
     drawn = tree_samples(df, row_id, features, trees, sample, seed)
     grown = drawn.groupBy("tree").applyInPandas(lambda pdf: _grow(pdf, seed), NODE_SCHEMA)
-    nodes = grown.toPandas().sort_values(["tree", "node"])
-    used = min(sample, df.count())
-    parts = [
-        {c: g[c].to_numpy() for c in ("feature", "threshold", "left", "right", "length")} for _, g in nodes.groupby("tree")
-    ]
-    return {"trees": parts, "norm": float(average_path(used)) or 1.0, "features": list(features)}
+    nodes = grown.toPandas()
+    used = drawn.where("tree = 0").count()
+    depth = int(np.ceil(np.log2(max(used, 2))))
+    return {
+        "trees": [_full_tree(g, depth) for _, g in nodes.groupby("tree")],
+        "depth": depth,
+        "norm": float(average_path(used)) or 1.0,
+        "features": list(features),
+    }
 
 
 def score_column(df: DataFrame, forest: dict) -> Column:
@@ -102,28 +123,21 @@ def score_column(df: DataFrame, forest: dict) -> Column:
     held = df.sparkSession.sparkContext.broadcast(forest)
 
     @F.pandas_udf(T.DoubleType())
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         model = held.value
-        for series in batches:
-            if not len(series):
-                yield pd.Series([], dtype=float)
-                continue
-            x = np.stack(series.to_numpy())
-            at = np.arange(len(x))
+        for columns in batches:
+            x = np.column_stack([c.to_numpy(dtype=float) for c in columns])
+            flat, first = x.ravel(), np.arange(len(x)) * x.shape[1]
             total = np.zeros(len(x))
-            for tree in model["trees"]:
+            for feature, threshold, length in model["trees"]:
                 node = np.zeros(len(x), dtype=np.int64)
-                feature = tree["feature"][node]
-                while (feature >= 0).any():
-                    inner = feature >= 0
-                    value = x[at, np.where(inner, feature, 0)]
-                    below = np.where(value <= tree["threshold"][node], tree["left"][node], tree["right"][node])
-                    node = np.where(inner, below, node)
-                    feature = tree["feature"][node]
-                total += tree["length"][node]
+                for _ in range(model["depth"]):
+                    value = flat.take(first + feature.take(node))
+                    node = 2 * node + 1 + (value > threshold.take(node))
+                total += length.take(node - len(feature))
             yield pd.Series(-np.power(2.0, -(total / len(model["trees"])) / model["norm"]))
 
-    return score(F.array(*[F.col(c).cast("double") for c in forest["features"]]))
+    return score(*[F.col(c).cast("double") for c in forest["features"]])
 
 
 def isolation_forest(

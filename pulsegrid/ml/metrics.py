@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.plans.ordered import neighbours, running_sums
+from pulsegrid.session import freeze
 
 
 def _literals(values: Sequence) -> Column:
@@ -81,13 +82,15 @@ def one_vs_rest(df: DataFrame, label: str, scores: Mapping[int, str]) -> DataFra
 def roc_curve_points(long: DataFrame, keys: Sequence[str] = ("class",)) -> DataFrame:
     """ROC points per key, one per distinct score from high to low.
 
-    Rows are reduced to counts per score first. Running totals over sorted
-    ranges keep a class of any size out of a single task.
+    Rows are reduced to counts per score first, and written, as they are read
+    several times. Running totals over sorted ranges keep a class of any size
+    out of a single task.
     """
     keys = list(keys)
     counts = long.groupBy(*keys, "score").agg(
         F.sum("positive").alias("pos"), (F.count("*") - F.sum("positive")).alias("neg")
     )
+    counts = freeze(counts)
     cum = running_sums(counts, keys, [F.col("score").desc()], {"tp": F.col("pos"), "fp": F.col("neg")})
     totals = counts.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     # one row per class, or a single row

@@ -24,6 +24,7 @@ def _pairs(
     sample_ts: str,
     width_us: int,
     same_assigned_date: bool,
+    known_small: bool = False,
 ) -> DataFrame:
     """One row per (response, sample) with ``0 < t - ts <= width``.
 
@@ -44,7 +45,7 @@ def _pairs(
         on.append(DAY)
     else:
         left, right = left.drop(DAY), right.drop(DAY)
-    joined = salted_join(left, right, on, [sample_ts])
+    joined = salted_join(left, right, on, [sample_ts], known_small=known_small)
     gap = micros(F.col(response_ts)) - micros(F.col(sample_ts))
     return joined.withColumn("__gap", gap).where((gap > 0) & (gap <= width_us)).drop(BUCKET, DAY)
 
@@ -114,14 +115,15 @@ def lookback_features(
     """
     _check_names(responses, samples, user)
     widest = max(widths.values()) * 1_000_000
-    # a metric without numeric cast would fail on text columns of the samples
     numeric = samples.select(user, sample_ts, *[F.col(m).try_cast("double").alias(m) for m in metrics])
     facts = responses.select(user, response_id, response_ts)
-    pairs = _pairs(facts, numeric, user, response_ts, sample_ts, widest, same_assigned_date)
 
     # a window spans at most two buckets, which bounds the rows behind one median
     buckets = numeric.select(user, F.floor(micros(F.col(sample_ts)) / widest).alias(BUCKET))
     small = 2 * largest_group(buckets, [user, BUCKET]) <= max_group_rows(samples.sparkSession)
+    pairs = _pairs(
+        facts, numeric, user, response_ts, sample_ts, widest, same_assigned_date, known_small=small
+    )
 
     aggs = []
     for i, seconds in enumerate(widths.values()):

@@ -98,12 +98,14 @@ def sigma_outliers(df: DataFrame, cols: Sequence[str], sigmas: float = 3.0) -> D
 
 
 def pearson(x: Column, y: Column) -> Column:
-    """Correlation over complete pairs; NULL without spread, where ``corr`` raises."""
-    both = x.isNotNull() & y.isNotNull()
-    a, b = F.when(both, x.cast("double")), F.when(both, y.cast("double"))
-    # a constant column can leave rounding noise in place of a zero deviation
-    spread = F.when((F.min(a) < F.max(a)) & (F.min(b) < F.max(b)), F.stddev_samp(a) * F.stddev_samp(b))
-    return F.try_divide(F.covar_samp(a, b), spread)
+    """Correlation over complete pairs; NULL without spread, where ``corr`` raises.
+
+    The three sums skip incomplete pairs by themselves, and the deviation sum of
+    a constant column is exactly 0.
+    """
+    x, y = x.cast("double"), y.cast("double")
+    spread = F.sqrt(F.regr_sxx(y, x) * F.regr_syy(y, x))
+    return F.try_divide(F.regr_sxy(y, x), spread)
 
 
 def correlation_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
@@ -124,13 +126,16 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     The upper triangle is computed and mirrored; the diagonal is 1 for a column
     with spread.
     """
-    pairs = [*combinations(cols, 2), *[(c, c) for c in cols]]
-    upper = correlation_pairs(df, pairs)
+    upper = correlation_pairs(df, list(combinations(cols, 2)))
     mirrored = F.array(
         F.struct("var_a", "var_b"), F.struct(F.col("var_b").alias("var_a"), F.col("var_a").alias("var_b"))
     )
-    both = F.when(F.col("var_a") == F.col("var_b"), F.slice(mirrored, 1, 1)).otherwise(mirrored)
-    return upper.select(F.explode(both).alias("__p"), "r").select("__p.var_a", "__p.var_b", "r")
+    both = upper.select(F.explode(mirrored).alias("__p"), "r").select("__p.var_a", "__p.var_b", "r")
+    spread = df.agg(*[(F.min(c) < F.max(c)).alias(c) for c in cols])
+    diagonal = spread.unpivot([], list(cols), "var_a", "varies").select(
+        "var_a", F.col("var_a").alias("var_b"), F.when(F.col("varies"), F.lit(1.0)).alias("r")
+    )
+    return both.unionByName(diagonal)
 
 
 def strong_pairs(df: DataFrame, cols: Sequence[str], threshold: float = 0.7) -> DataFrame:

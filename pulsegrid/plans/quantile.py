@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.plans.ordered import largest_group, running_sums
-from pulsegrid.session import max_group_rows
+from pulsegrid.session import freeze, max_group_rows
 
 
 def exact_quantiles(
@@ -29,7 +29,8 @@ def exact_quantiles(
         return data.groupBy(*keys).agg(q.alias("__q")).select(
             *keys, *[F.col("__q")[i].alias(name) for i, name in enumerate(probs)]
         )
-    counts = data.groupBy(*keys, "__v").agg(F.count("*").alias("__n"))
+    # read for the ranges, the ranks and the totals, so it is written once
+    counts = freeze(data.groupBy(*keys, "__v").agg(F.count("*").alias("__n")))
     ranked = running_sums(counts, keys, [F.col("__v")], {"__cum": F.col("__n")})
     totals = counts.groupBy(*keys).agg(F.sum("__n").alias("__total"))
     # the totals have one row per group; without keys it is a single row
