@@ -22,8 +22,9 @@ def _is_small(calendar: DataFrame) -> bool:
 def calendar_facts(
     df: DataFrame, calendar: DataFrame, group: str, day: str, inclusive_next: bool = False
 ) -> DataFrame:
-    """Adds ``cal_in`` (first containing entry), ``cal_next`` (days to the next start) and
-    ``cal_prev`` (days since the last end); NULL where there is none.
+    """Adds ``cal_in`` (first containing entry), ``cal_next`` (days to the next start),
+    ``cal_prev`` (days since the last end), NULL where there is none, and ``cal_known`` (the
+    group has a calendar).
 
     Containment includes both ends. ``inclusive_next`` counts a start on the
     same day as next.
@@ -43,13 +44,18 @@ def calendar_facts(
                 "cal_in": F.get(inside, F.lit(0))["name"],
                 "cal_next": F.datediff(F.array_min(F.transform(later, lambda e: e["start"])), d),
                 "cal_prev": F.datediff(d, F.array_max(F.transform(earlier, lambda e: e["end"]))),
+                "cal_known": F.col("__g").isNotNull(),
             }
         ).drop("__g", "__cal")
     facts = _facts_by_day(
         df.select(F.col(group).alias("__g"), F.col(day).alias("__d")).distinct(), calendar, inclusive_next
     )
-    return df.join(facts, (F.col(group) == F.col("__g")) & (F.col(day) == F.col("__d")), "left").drop(
-        "__g", "__d"
+    groups = calendar.select(F.col("group").alias("__grp")).distinct()
+    return (
+        df.join(facts, (F.col(group) == F.col("__g")) & (F.col(day) == F.col("__d")), "left")
+        .join(groups, F.col(group) == F.col("__grp"), "left")
+        .withColumn("cal_known", F.col("__grp").isNotNull())
+        .drop("__g", "__d", "__grp")
     )
 
 
@@ -121,11 +127,8 @@ def exam_features(
     zeros, NULLs and an empty category. The post-exam categories are reached
     only when there is no next entry.
     """
-    groups = calendar.select(F.col("group").alias("__grp")).distinct()
-    facts = calendar_facts(df, calendar, group, day).join(
-        groups, F.col(group) == F.col("__grp"), "left"
-    )
-    known, holi = F.col("__grp").isNotNull(), in_holiday(F.col(day), *holiday)
+    facts = calendar_facts(df, calendar, group, day)
+    known, holi = F.col("cal_known"), in_holiday(F.col(day), *holiday)
     exam, nxt, prv = F.col("cal_in").isNotNull(), F.col("cal_next"), F.col("cal_prev")
     category = (
         F.when(~known, "")
@@ -151,7 +154,7 @@ def exam_features(
             "weeks_since_last_exam": prv / 7,
             "exam_proximity_category": category,
         }
-    ).drop("cal_in", "cal_next", "cal_prev", "__grp")
+    ).drop("cal_in", "cal_next", "cal_prev", "cal_known")
 
 
 def window_exam_flags(
@@ -167,4 +170,4 @@ def window_exam_flags(
             "days_until_exam": F.coalesce(nxt, F.lit(-1)),
             "is_pre_exam_week": F.coalesce(nxt.between(0, 7), F.lit(False)).cast("int"),
         }
-    ).drop("cal_in", "cal_next", "cal_prev")
+    ).drop("cal_in", "cal_next", "cal_prev", "cal_known")

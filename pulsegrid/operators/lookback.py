@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.temporal import assigned_date, micros
 from pulsegrid.plans.ordered import largest_group
-from pulsegrid.plans.quantile import exact_quantiles
+from pulsegrid.plans.quantile import exact_quantiles, melt
 from pulsegrid.plans.skew import salted_join
-from pulsegrid.session import max_group_rows
+from pulsegrid.session import freeze, max_group_rows
 
 BUCKET, DAY = "__bucket", "__day"
 
@@ -159,11 +159,14 @@ def lookback_features(
     )
     if small:
         return out
-    detailed = lookback_join(
-        facts, numeric, user, response_ts, sample_ts, widths, same_assigned_date
-    )
+    # hot buckets: the pairs are written once, all medians come from one quantile pass
     keys = [response_id, "time_window"]
-    for m in metrics:
-        out = out.join(exact_quantiles(detailed, keys, m, {f"{m}_median": 0.5}), keys, "left")
+    detailed = lookback_join(facts, numeric, user, response_ts, sample_ts, widths, same_assigned_date)
+    long = freeze(melt(detailed.select(*keys, *metrics), keys, metrics, "metric"))
+    medians = exact_quantiles(long, [*keys, "metric"], "value", {"median": 0.5})
+    wide = medians.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("metric") == m, F.col("median"))).alias(f"{m}_median") for m in metrics]
+    )
+    out = out.join(wide, keys, "left")
     ordered = [f"{m}_{s}" for m in metrics for s in ("mean", "std", "min", "max", "median", "count")]
     return out.select(user, response_id, response_ts, "time_window", "record_count", *ordered)

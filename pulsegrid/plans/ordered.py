@@ -24,28 +24,38 @@ CHUNK, POS, RN = "__chunk", "__pos", "__rn"
 _POS_BITS = 33  # monotonically_increasing_id keeps the row position in the low 33 bits
 
 
+# Rows that one range is meant to hold; a large table is cut into as many ranges as that takes.
+RANGE_ROWS = 1_000_000
+
+
+def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
+    """Rows of the largest key and of the table; one partial aggregation over the key columns."""
+    sizes = df.groupBy(*keys).count()
+    largest, total = sizes.agg(F.max("count"), F.sum("count")).first()
+    return largest or 0, total or 0
+
+
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the largest key; one partial aggregation over the key columns."""
-    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    return group_sizes(df, keys)[0]
 
 
-def fits_one_task(df: DataFrame, keys: Sequence[str]) -> bool:
-    if not keys:
-        return False
-    return largest_group(df, keys) <= max_group_rows(df.sparkSession)
+def _plan(df: DataFrame, keys: Sequence[str]) -> tuple[bool, int]:
+    """Whether every key fits one task, and the number of ranges to use otherwise."""
+    largest, total = group_sizes(df, keys)
+    ranges = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_ROWS))
+    return bool(keys) and largest <= max_group_rows(df.sparkSession), ranges
 
 
-def range_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+def range_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[Column], ranges: int) -> DataFrame:
     """Rows sorted by ``(keys, order)`` in balanced ranges, frozen, with range id and position.
 
-    The checkpoint makes the placement data: a re-computed task or a second
+    Writing the result makes the placement data: a re-computed task or a second
     branch of the plan cannot see other range borders.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by = [F.col(k) for k in keys] + list(order)
     mid = F.col("__mid")
     ranged = (
-        df.repartitionByRange(n, *by)
+        df.repartitionByRange(ranges, *by)
         .sortWithinPartitions(*by)
         .withColumn("__mid", F.monotonically_increasing_id())
         .withColumns(
@@ -67,11 +77,12 @@ def running_sums(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], sums: dict[str, Column]
 ) -> DataFrame:
     """Running totals per key, current row included."""
-    if fits_one_task(df, keys):
+    fits, ranges = _plan(df, keys)
+    if fits:
         w = _unbounded_to(Window.partitionBy(*keys).orderBy(*order), 0)
         return df.withColumns({name: F.sum(c).over(w) for name, c in sums.items()})
     parts = range_chunks(
-        df.withColumns({f"__w_{name}": c for name, c in sums.items()}), keys, order
+        df.withColumns({f"__w_{name}": c for name, c in sums.items()}), keys, order, ranges
     )
     local = _unbounded_to(Window.partitionBy(CHUNK, *keys).orderBy(POS), 0)
     totals = parts.groupBy(CHUNK, *keys).agg(
@@ -112,7 +123,8 @@ def neighbours(
     next value is the last one seen in reverse order: a frame that ends at the current row is
     extended row by row, one that begins there is evaluated anew for each row.
     """
-    if fits_one_task(df, keys):
+    fits, ranges = _plan(df, keys)
+    if fits:
         by = Window.partitionBy(*keys)
         back = _unbounded_to(by.orderBy(*order), 0)
         ahead = _unbounded_to(by.orderBy(*[c.desc() for c in order]), 0)
@@ -120,7 +132,7 @@ def neighbours(
             {p: F.last(c, ignorenulls=True).over(back) for c, (p, _) in cols.items()}
             | {n: F.last(c, ignorenulls=True).over(ahead) for c, (_, n) in cols.items()}
         )
-    parts = range_chunks(df, keys, order)
+    parts = range_chunks(df, keys, order, ranges)
     by = Window.partitionBy(CHUNK, *keys)
     back, ahead = _unbounded_to(by.orderBy(POS), 0), _unbounded_to(by.orderBy(F.col(POS).desc()), 0)
     edges = parts.groupBy(CHUNK, *keys).agg(
@@ -162,7 +174,7 @@ def windowed(
     Large keys are cut into blocks of consecutive rows; the last ``back`` rows of
     a block are copied to the next one as context and dropped afterwards.
     """
-    if fits_one_task(df, keys):
+    if _plan(df, keys)[0]:
         return df.withColumns(build(Window.partitionBy(*keys).orderBy(*order)))
     block_rows = max(max_group_rows(df.sparkSession), back + 1)
     numbered = position(df, keys, order)

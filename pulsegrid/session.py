@@ -59,10 +59,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def freeze(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint.
+    """Cut the lineage: write the rows to the shared folder and read them back.
 
     Besides iterative jobs this is needed wherever one result is read twice and
-    both reads must agree on row placement.
+    both reads must agree on row placement. A written table, unlike a
+    checkpoint, is read by column and has a known size for join planning.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, "frozen")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

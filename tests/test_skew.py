@@ -97,10 +97,11 @@ def test_large_calendar_equals_small_one(spark, monkeypatch):
         as t(seq, `group`, start, end, name)"""
     )
     assert MAX_ENTRIES > 4
+    names = ["d", "g", "cal_in", "cal_next", "cal_prev", "cal_known"]
     for inclusive in (False, True):
-        folded = calendar_facts(days, entries, "g", "d", inclusive).collect()
+        folded = calendar_facts(days, entries, "g", "d", inclusive).select(*names).collect()
         monkeypatch.setattr(cal, "MAX_ENTRIES", 2)
-        by_day = calendar_facts(days, entries, "g", "d", inclusive).select("d", "g", "cal_in", "cal_next", "cal_prev").collect()
+        by_day = calendar_facts(days, entries, "g", "d", inclusive).select(*names).collect()
         monkeypatch.setattr(cal, "MAX_ENTRIES", 10_000)
         assert sorted(map(repr, folded)) == sorted(map(repr, by_day))
 
