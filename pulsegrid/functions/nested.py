@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pulsegrid.functions.temporal import micros
+
 LEVELS_SCHEMA = (
     "summary map<string, struct<count:double, minutes:double, thirtyDayAvgMinutes:double>>, "
     "data array<struct<dateTime:string, level:string, seconds:double>>, "
@@ -61,7 +63,7 @@ def _mean(values: Column) -> Column:
 
 
 def _moment(segment: Column) -> Column:
-    return F.unix_micros(segment["dateTime"].try_cast("timestamp"))
+    return micros(segment["dateTime"].try_cast("timestamp_ntz"))
 
 
 def _variance(values: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # Timestamp layouts that the tolerant parser tries, in this order.
@@ -60,7 +60,7 @@ def month_name(ts: Column) -> Column:
 
 
 def is_midnight(ts: Column) -> Column:
-    return ts == F.date_trunc("day", ts).cast("timestamp_ntz")
+    return ts == F.to_date(ts).cast("timestamp_ntz")
 
 
 def seconds_of_day(ts: Column) -> Column:
@@ -78,8 +78,17 @@ def assigned_date(ts: Column, cutoff_hour: int = 2) -> Column:
 
 
 def micros(ts: Column) -> Column:
-    """Microseconds since 1970-01-01, for exact arithmetic on naive timestamps."""
-    return F.unix_micros(ts.cast("timestamp"))
+    """Microseconds since 1970-01-01 00:00, for exact arithmetic on naive timestamps.
+
+    In a session zone other than UTC the count is put together from day and
+    time of day, because a naive moment can be missing or double in that zone.
+    """
+    session = SparkSession.getActiveSession()
+    if session is not None and session.conf.get("spark.sql.session.timeZone") in ("UTC", "Etc/UTC", "Z", "+00:00"):
+        return F.unix_micros(ts.cast("timestamp"))
+    in_day = (F.hour(ts) * 3600 + F.minute(ts) * 60).cast("bigint") * 1_000_000
+    second = (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("bigint")
+    return F.unix_date(F.to_date(ts)).cast("bigint") * 86_400_000_000 + in_day + second
 
 
 def seconds_between(later: Column, earlier: Column) -> Column:

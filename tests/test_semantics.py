@@ -232,6 +232,21 @@ def test_parsing_does_not_depend_on_the_session_zone(spark):
     assert list(row) == [ts("2024-07-01 10:00:00"), ts("2023-11-14 22:13:20.500000")]
 
 
+def test_windows_do_not_depend_on_the_session_zone(spark):
+    # 02:30 does not exist on this day in the session zone
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        stamps = ["2024-03-10 02:30:00", "2024-03-10 02:49:00", "2024-03-10 03:20:00"]
+        got = windows(spark, "2024-03-10 03:30:00", stamps, width=2700)
+        midnight = spark.sql("select timestamp_ntz'2024-03-10 00:00:00' as a, timestamp_ntz'2024-03-10 00:00:01' as b").select(
+            temporal.is_midnight(F.col("a")), temporal.is_midnight(F.col("b"))
+        ).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == ["2024-03-10 02:49:00", "2024-03-10 03:20:00"]
+    assert list(midnight) == [True, False]
+
+
 def test_names_and_codes(spark):
     df = spark.createDataFrame([("w5_hr_mean",), ("w5_min_min",), ("steps",)], "n string")
     parts = encode.feature_name_parts(F.col("n"), {"w5_": "5min"})
