@@ -178,13 +178,34 @@ def _responses(spark, d):
     return li
 
 
-@query("m11_dbscan")
+def _dbscan_sql(rows: str, eps: float, min_samples: int) -> str:
+    """Neighbour counts, core links and components by smallest reachable id, from all close pairs."""
+    return f"""WITH RECURSIVE z AS ({rows}), pair AS MATERIALIZED (SELECT a.row_id AS p, b.row_id AS q FROM z a JOIN z b ON
+    a.g = b.g AND b.a BETWEEN a.a - {eps} AND a.a + {eps} AND (a.a - b.a) ** 2 + (a.b - b.b) ** 2 <= {eps}::DOUBLE ** 2),
+    core AS MATERIALIZED (SELECT p AS id FROM pair GROUP BY p HAVING count(*) >= {min_samples}),
+    link AS MATERIALIZED (SELECT p, q FROM pair WHERE p <> q AND p IN (SELECT id FROM core) AND q IN (SELECT id FROM core)),
+    cc(id, comp) USING KEY (id) AS (SELECT id, id FROM core UNION (SELECT u.id, min(v.comp) FROM recurring.cc u JOIN link ON
+    link.p = u.id JOIN cc v ON v.id = link.q WHERE v.comp < u.comp GROUP BY u.id)),
+    num AS (SELECT comp, CAST(row_number() OVER (PARTITION BY g ORDER BY comp) - 1 AS INTEGER) AS n FROM (SELECT DISTINCT
+    comp, g FROM cc JOIN z ON z.row_id = cc.comp)), lab AS (SELECT id, n FROM cc JOIN num USING (comp)),
+    edge AS (SELECT p AS id, min(n) AS n FROM pair JOIN lab ON lab.id = pair.q WHERE p NOT IN (SELECT id FROM core) GROUP BY p)
+    SELECT z.row_id, {{extra}}coalesce(lab.n, edge.n, -1) AS cluster FROM z LEFT JOIN lab ON lab.id = z.row_id LEFT JOIN edge ON
+    edge.id = z.row_id"""
+
+
+_ORDERS = """SELECT l_orderkey AS row_id, 0 AS g, (a - avg(a) OVER ()) / stddev_pop(a) OVER () AS a, (b - avg(b) OVER ()) /
+    stddev_pop(b) OVER () AS b FROM (SELECT l_orderkey, avg(l_quantity) AS a, avg(l_discount) AS b FROM lineitem GROUP BY 1)"""
+_HOURS = """SELECT event_id AS row_id, event_type AS g, (hour(ts) - avg(hour(ts)) OVER w) / stddev_pop(hour(ts)) OVER w AS a,
+    (value - avg(value) OVER w) / stddev_pop(value) OVER w AS b FROM events WINDOW w AS (PARTITION BY event_type)"""
+
+
+@query("m11_dbscan", _dbscan_sql(_ORDERS, 0.2, 5).format(extra=""))
 def m11(spark, d):
     z = dbscan.zscore_by(_responses(spark, d), [], ["a", "b"])
     return dbscan.dbscan(z, "row_id", ["a_z", "b_z"], 0.2, 5).select("row_id", "cluster")
 
 
-@query("m11_dbscan_per_group")
+@query("m11_dbscan_per_group", _dbscan_sql(_HOURS, 0.15, 5).format(extra="g AS event_type, "))
 def m11_group(spark, d):
     e = table(spark, d, "events").select(F.col("event_id").alias("row_id"), "event_type", F.hour("ts").alias("h"), "value")
     z = dbscan.zscore_by(e, ["event_type"], ["h", "value"])

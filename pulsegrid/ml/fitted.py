@@ -8,14 +8,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import features as fx
-from pulsegrid.plans.quantile import exact_quantiles, melt
+from pulsegrid.plans.quantile import columns_as_rows, quantile_table
 
 
 def fit_statistics(train: DataFrame, cols: Sequence[str]) -> DataFrame:
     """One row per column: mean, population std and exact median of the training rows."""
-    long = melt(train, [], cols, "column_name")
-    stats = long.groupBy("column_name").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
-    return stats.join(exact_quantiles(long, ["column_name"], "value", {"median": 0.5}), "column_name", "left")
+    row = train.agg(
+        *[
+            f(F.col(c).cast("double")).alias(f"{n}_{i}")
+            for i, c in enumerate(cols)
+            for n, f in (("mean", F.avg), ("std", F.stddev_pop))
+        ]
+    )
+    stats = columns_as_rows(row, cols, ["mean", "std"], "column_name")
+    return stats.join(quantile_table(train, cols, {"median": 0.5}, "column_name"), "column_name", "left")
 
 
 def _by_column(stats: DataFrame) -> dict[str, dict]:

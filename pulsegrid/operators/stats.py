@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.temporal import seconds_between
-from pulsegrid.plans.quantile import exact_quantiles, melt
+from pulsegrid.plans.quantile import columns_as_rows, exact_quantiles, quantile_table
 
 QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
 
@@ -33,25 +33,30 @@ def group_describe(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Describe table, one row per column, with missing count and percentage."""
-    rows = df.agg(F.count("*").alias("__n"))
-    long = melt(df, [], cols)
-    stats = long.groupBy("column").agg(*_basic(F.col("value")))
-    n = F.col("__n")
+    names = ["count", "mean", "std", "min", "max", "total"]
+    row = df.agg(
+        *[
+            agg.alias(f"{n}_{i}")
+            for i, c in enumerate(cols)
+            for n, agg in zip(names, [*_basic(F.col(c).cast("double")), F.count("*")])
+        ]
+    )
+    stats = columns_as_rows(row, cols, names)
+    missing = F.col("total") - F.col("count")
     return (
-        stats.join(exact_quantiles(long, ["column"], "value", QUARTILES), "column", "left")
-        .crossJoin(F.broadcast(rows))  # one row
-        .withColumn("missing", n - F.col("count"))
-        .withColumn("missing_pct", F.try_divide(F.col("missing") * 100.0, n))
-        .drop("__n")
+        stats.join(quantile_table(df, cols, QUARTILES), "column", "left")
+        .withColumn("missing", missing)
+        .withColumn("missing_pct", F.try_divide(F.col("missing") * 100.0, F.col("total")))
+        .drop("total")
     )
 
 
 def robust_summary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """p05, median, p95 and max per column; text that is no number is skipped."""
     typed = df.select(*[F.col(c).try_cast("double").alias(c) for c in cols])
-    long = melt(typed, [], cols)
-    tails = exact_quantiles(long, ["column"], "value", {"p05": 0.05, "median": 0.5, "p95": 0.95})
-    return tails.join(long.groupBy("column").agg(F.max("value").alias("max")), "column")
+    tails = quantile_table(typed, cols, {"p05": 0.05, "median": 0.5, "p95": 0.95})
+    tops = columns_as_rows(typed.agg(*[F.max(c).alias(f"max_{i}") for i, c in enumerate(cols)]), cols, ["max"])
+    return tails.join(tops, "column")
 
 
 def group_means(df: DataFrame, keys: Sequence[str], cols: Sequence[str], user: str) -> DataFrame:

@@ -55,10 +55,37 @@ def melt(df: DataFrame, keys: Sequence[str], cols: Sequence[str], name: str = "c
     return typed.unpivot([F.col(k) for k in keys], [F.col(c) for c in cols], name, "value")
 
 
+def columns_as_rows(row: DataFrame, cols: Sequence[str], fields: Sequence[str], name: str = "column") -> DataFrame:
+    """One aggregate row with columns ``<field>_<position>`` as one row per column."""
+    entries = F.array(
+        *[
+            F.struct(F.lit(c).alias(name), *[F.col(f"{f}_{i}").alias(f) for f in fields])
+            for i, c in enumerate(cols)
+        ]
+    )
+    return row.select(F.explode(entries).alias("__e")).select("__e.*")
+
+
+def quantile_table(
+    df: DataFrame, cols: Sequence[str], probs: dict[str, float], name: str = "column"
+) -> DataFrame:
+    """Quantiles of whole columns, one row per column.
+
+    A small table takes one aggregation over all columns. A large one is put in
+    long form, where each column is a group like any other.
+    """
+    if df.count() > max_group_rows(df.sparkSession):
+        return exact_quantiles(melt(df, [], cols, name), [name], "value", probs)
+    q = F.array(*[F.lit(float(p)) for p in probs.values()])
+    row = df.agg(*[F.percentile(F.col(c).cast("double"), q).alias(f"q_{i}") for i, c in enumerate(cols)])
+    return columns_as_rows(row, cols, ["q"], name).select(
+        name, *[F.col("q")[i].alias(p) for i, p in enumerate(probs)]
+    )
+
+
 def column_quantiles(
     df: DataFrame, cols: Sequence[str], probs: dict[str, float]
 ) -> dict[str, dict[str, float]]:
     """Quantiles of whole columns, as numbers for the driver (one row per column)."""
-    rows = exact_quantiles(melt(df, [], cols), ["column"], "value", probs).collect()
-    found = {r["column"]: {p: r[p] for p in probs} for r in rows}
+    found = {r["column"]: {p: r[p] for p in probs} for r in quantile_table(df, cols, probs).collect()}
     return {c: found.get(c, dict.fromkeys(probs)) for c in cols}

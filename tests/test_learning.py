@@ -199,3 +199,23 @@ def test_kmeans_keeps_the_best_start(spark):
     assert best.summary.trainingCost <= min(costs) + 1e-9
     sweep = cluster.sweep_k(df, [2, 3]).collect()
     assert sweep[0]["inertia"] >= sweep[1]["inertia"] and all(-1 <= r["silhouette"] <= 1 for r in sweep)
+
+
+def test_models_and_scratch(spark, tmp_path, labelled):
+    import os
+
+    from pyspark.ml.feature import PCAModel
+
+    from pulsegrid import session
+    from pulsegrid.sources import sinks
+
+    model = reduce.fit_pca(labelled, 2)
+    path = sinks.save_model(model, str(tmp_path / "pca"))
+    again = PCAModel.load(path)
+    assert np.allclose(again.pc.toArray(), model.pc.toArray())
+    frozen = session.freeze(spark.range(5))
+    assert frozen.count() == 5
+    folder = frozen.inputFiles()[0].removeprefix("file://").rsplit("/", 2)[0]
+    assert os.path.isdir(folder)
+    session.clear_scratch(spark)
+    assert not os.path.exists(folder)
