@@ -106,11 +106,18 @@ def time_column(df: DataFrame) -> Column | None:
 
 
 def read_source(
-    spark: SparkSession, path: str, pattern: str, source: str, schema: str | None = None
+    spark: SparkSession,
+    path: str,
+    pattern: str,
+    source: str,
+    schema: str | None = None,
+    path_levels: Mapping[str, int] | None = None,
 ) -> DataFrame | None:
     """All files of one pattern as one scan: ``timestamp``, ``source`` and the value columns.
 
-    None if no file matches or the files have no time column.
+    ``path`` may hold wildcards. ``path_levels`` adds columns that name a part of
+    the file's path (``{"user": -4}``) and ``row_seq``, which orders the rows by
+    file and position. None if no file matches or the files have no time column.
     """
     reader = spark.read.options(ignoreCorruptFiles=True)
     if schema:
@@ -130,6 +137,12 @@ def read_source(
         return None
     drop = {"timestamp", "source", "date", "time", "datetime"}
     kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in drop]
+    if path_levels:
+        kept += [file_name(level).alias(c) for c, level in path_levels.items()]
+        place = ("file_path", "file_block_start")
+        kept.append(
+            F.struct(*[F.col(f"_metadata.{p}") for p in place], F.monotonically_increasing_id().alias("row")).alias("row_seq")
+        )
     return df.select(ts.alias("timestamp"), F.lit(source).alias("source"), *kept)
 
 

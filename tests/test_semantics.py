@@ -306,3 +306,28 @@ def test_label_codes_follow_first_appearance(spark):
     got = {r["seq"]: r["c_encoded"] for r in encode.label_encode(df, "c", "seq").collect()}
     assert got == {1: 0, 2: 1, 3: 0, 4: None}
     assert encode.label_mapping(df, "c", "seq", max_values=1).count() == 0
+
+
+def test_consolidated_downloads(spark, tmp_path):
+    from pulsegrid.sources.downloads import consolidate_downloads
+
+    def put(user, download, folder, name, text):
+        path = tmp_path / user / download / folder
+        path.mkdir(parents=True, exist_ok=True)
+        (path / name).write_text(text)
+
+    activity, oxygen = "Physical Activity_GoogleData", "Oxygen Saturation (SpO2)"
+    put("7", "a", activity, "steps_1.csv", "timestamp,steps\n2024-01-01T08:00:00Z,5\n2024-01-01T09:00:00Z,7\n")
+    put("7", "a", activity, "activity_level_1.csv", "timestamp,level\n2024-01-01T08:00:00Z,LOW\n2024-01-01T08:00:00Z,HIGH\n")
+    put("7", "a", oxygen, "Minute SpO2 - x.csv", "timestamp,value\n2024-01-01T08:00:00Z,96\nnever,1\n")
+    put("7", "b", oxygen, "Minute SpO2 - y.csv", "timestamp,value\n2024-01-01T08:00:00Z,97\n")
+    put("8", "a", oxygen, "Minute SpO2 - z.csv", "timestamp,value\n2024-01-02T08:00:00Z,95\n")
+    rows = {(r["user"], r["timestamp"]): r.asDict() for r in consolidate_downloads(spark, str(tmp_path)).collect()}
+    eight = ts("2024-01-01 08:00:00")
+    assert set(rows) == {("7", ts("2024-01-01 00:00:00")), ("7", eight), ("8", ts("2024-01-02 08:00:00"))}
+    assert rows[("7", ts("2024-01-01 00:00:00"))]["daily_total_steps"] == 12
+    # the later download wins with its whole row: the activity level of the earlier one is gone
+    assert rows[("7", eight)]["minute_spo2_value"] == "97" and rows[("7", eight)]["activity_level_level"] is None
+    put("9", "a", activity, "activity_level_1.csv", "timestamp,level\n2024-01-03T08:00:00Z,LOW\n2024-01-03T08:00:00Z,HIGH\n")
+    nine = consolidate_downloads(spark, str(tmp_path)).where("user = '9'").collect()
+    assert [r["activity_level_level"] for r in nine] == ["HIGH"]
