@@ -66,9 +66,19 @@ def _moment(segment: Column) -> Column:
     return micros(segment["dateTime"].try_cast("timestamp_ntz"))
 
 
-def _variance(values: Column) -> Column:
-    mean = _mean(values)
-    return _mean(F.transform(values, lambda v: (v - mean) * (v - mean)))
+def _minutes_of(data: Column, stage: str) -> Column:
+    """Count, mean and sum of squared deviations of a stage's minutes, in one pass over the segments."""
+    start = F.struct(*[F.lit(0.0).alias(name) for name in ("n", "mean", "m2")])
+
+    def add(acc: Column, segment: Column) -> Column:
+        minutes, n = segment["seconds"] / 60, acc["n"] + 1
+        off = minutes - acc["mean"]
+        mean = acc["mean"] + off / n
+        moved = F.struct(n.alias("n"), mean.alias("mean"), (acc["m2"] + off * (minutes - mean)).alias("m2"))
+        counts = (segment["level"] == stage) & segment["seconds"].isNotNull()
+        return F.when(counts, moved).otherwise(acc)
+
+    return F.aggregate(data, start, add)
 
 
 def segment_features(levels: Column, stages: Sequence[str] = MAIN_STAGES) -> dict[str, Column]:
@@ -83,12 +93,11 @@ def segment_features(levels: Column, stages: Sequence[str] = MAIN_STAGES) -> dic
             F.size(hits) > 0, (_moment(F.get(hits, F.lit(0))) - _moment(F.get(data, F.lit(0)))) / 60e6
         )
     for stage in stages:
-        minutes = F.transform(_of_stage(data, stage), lambda s: s["seconds"] / 60)
-        mean, variance = _mean(minutes), _variance(minutes)
-        out[f"{stage}_avg_segment_duration_minutes"] = F.when(F.size(minutes) > 0, mean)
-        out[f"{stage}_segment_duration_std"] = F.when(F.size(minutes) > 1, F.sqrt(variance)).when(
-            F.size(minutes) == 1, F.lit(0.0)
-        )
+        minutes = _minutes_of(data, stage)
+        spread = F.sqrt(F.try_divide(minutes["m2"], minutes["n"]))
+        some_minutes = minutes["n"] > 0
+        out[f"{stage}_avg_segment_duration_minutes"] = F.when(some_minutes, minutes["mean"])
+        out[f"{stage}_segment_duration_std"] = F.when(some_minutes, spread)
     out["last_sleep_stage"] = F.try_element_at(data, F.lit(-1))["level"]
     return out
 
