@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,20 +36,16 @@ def max_group_rows(spark: SparkSession) -> int:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors see, as named in ``spark.checkpoint.dir``.
 
-    A temporary folder is made only in local mode, where driver and executors
-    are one process.
+    Where that is unset, a folder in the session's warehouse is taken, which a
+    cluster shares as well. No machine-local temporary folder is ever used.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    current = sc.getCheckpointDir()
-    if current is None:
-        if configured is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-            configured = tempfile.mkdtemp(prefix="pulsegrid-")
+    if configured is None:
+        configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/pulsegrid-scratch"
+    if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(configured)
-        current = sc.getCheckpointDir()
-    return configured or current
+    return configured
 
 
 def _scratch_root(spark: SparkSession) -> str:

@@ -4,6 +4,7 @@ python tests/run_queries.py SF_DIR [name-prefix ...]
 """
 
 import sys
+import tempfile
 import time
 import traceback
 from pathlib import Path
@@ -18,7 +19,7 @@ from pulsegrid.session import build_session  # noqa: E402
 
 
 def main(sf_dir: str, prefixes: list[str]) -> int:
-    conf = {"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"}
+    conf = {"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.checkpoint.dir": tempfile.mkdtemp(prefix="run-"), "spark.driver.memory": "8g"}
     extra = [p for p in prefixes if "=" in p]
     conf.update(dict(p.split("=", 1) for p in extra))
     prefixes = [p for p in prefixes if "=" not in p]
