@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import decontaminate, exact, packing, token_store
+from pulsegrid.llm import decontaminate, exact, jaccard, packing, token_store
 from pulsegrid.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "text", F.sha2(exact.without_space(F.col("text")), 256).alias("text_sha256")
     )
     return exact.exact_duplicates(docs, carry=["text_sha256"])
+
+
+@query("op6_ngram_jaccard_join")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = jaccard.jaccard_classes(table(spark, sf_dir, "documents"), n=5, threshold=0.8)
+    return classes.select("doc_id", "class_id", "text_class", "n_links", "n_grams")
