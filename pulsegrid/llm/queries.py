@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import decontaminate, exact, jaccard, packing, token_store
+from pulsegrid.llm import decontaminate, exact, jaccard, packing, token_store, toxicity
+from pulsegrid.llm.common import spark_crc32
 from pulsegrid.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +103,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = jaccard.jaccard_classes(table(spark, sf_dir, "documents"), n=5, threshold=0.8)
     return classes.select("doc_id", "class_id", "text_class", "n_links", "n_grams")
+
+
+@query("op8_toxicity")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = spark_crc32("doc_id") % 3 == 1
+    model = toxicity.fit(docs.where(~held_out), labels.where(~held_out))
+    rows = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
+    scored = toxicity.score(rows, model)
+    return scored.withColumn("predicted", toxicity.flagged(F.col("score"), 0.7))
