@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 # Bytes of text that are hashed at once; bounds the working arrays of a task.
 WINDOW_BYTES = 1 << 20
 # Bytes of text that an operator's task takes up at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def content_key(*cols: Column | str) -> list[Column]:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import decontaminate, exact, jaccard, packing, token_store, toxicity
+from pulsegrid.llm import decontaminate, exact, jaccard, language, packing, token_store, toxicity
 from pulsegrid.llm.common import spark_crc32
 from pulsegrid.session import scratch_path
 
@@ -113,3 +113,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
     scored = toxicity.score(rows, model)
     return scored.withColumn("predicted", toxicity.flagged(F.col("score"), 0.7))
+
+
+@query("op3_language_id")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(spark_crc32("doc_id") % 4 == 2, F.lit(False))
+    model = language.fit(docs.where(~held_out))
+    return language.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model)

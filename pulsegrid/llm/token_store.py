@@ -107,7 +107,7 @@ def write_token_store(
     the index. Rows that share a key lie one after another in the order of a hash
     of their text, and a key leads to the first of them. A null or empty text is
     the end id alone. No rows give an empty store. Each block is made from some
-    4 MB of text or from one longer text, and a hot key is spread over shards.
+    2 MB of text or from one longer text, and a hot key is spread over shards.
     """
     rows = docs.select(F.col(f"`{key}`").cast("bigint").alias("__key"), F.col(f"`{text}`").cast("string").alias("__text"))
     order = ["__key", F.xxhash64("__text")]

@@ -41,7 +41,7 @@ def _word_sets(docs: DataFrame, text: str) -> DataFrame:
 
 
 def nnpu_fit(
-    positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, steps: int = 600, rate: float = 0.05, ridge: float = 1e-4
+    positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, steps: int = 800, rate: float = 0.05, ridge: float = 3e-5
 ) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk ``p R+(P) + max(0, R-(U) - p R-(P))`` with logistic loss.
 
@@ -101,7 +101,8 @@ def fit(
     sets = []
     for ids in (toxic, other):
         rows = _word_sets(docs.join(F.broadcast(ids), doc_id, "left_semi"), text).collect()
-        sets.append([np.frombuffer(bytes(r["words"]), "<u8") for r in rows])
+        # copies of one text would count its rare words over and over
+        sets.append([np.frombuffer(own, "<u8") for own in sorted({bytes(r["words"]) for r in rows})])
     empty = ToxicityModel(np.empty(0, np.uint64), np.empty(0), float(np.log(prior / (1 - prior))))
     if not sets[0] or not sets[1]:
         return empty
