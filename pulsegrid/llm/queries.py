@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import decontaminate, exact, jaccard, language, packing, token_store, toxicity
+from pulsegrid.llm import decontaminate, exact, jaccard, language, lines, packing, token_store, toxicity
 from pulsegrid.llm.common import spark_crc32
 from pulsegrid.session import scratch_path
 
@@ -121,3 +121,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(spark_crc32("doc_id") % 4 == 2, F.lit(False))
     model = language.fit(docs.where(~held_out))
     return language.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+
+
+@query("op1_line_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.without_repeated_runs(docs, noise_words=25, guaranteed_words=50)
