@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import decontaminate, exact, jaccard, language, lines, packing, token_store, toxicity
+from pulsegrid.llm import decontaminate, exact, jaccard, language, lines, packing, token_store, toxicity, urls
 from pulsegrid.llm.common import spark_crc32
 from pulsegrid.session import scratch_path
 
@@ -127,3 +127,73 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lines.without_repeated_runs(docs, noise_words=25, guaranteed_words=50)
+
+
+RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def _fits(host: str, path: str) -> str:
+    return f"((host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}'))"
+
+
+def _by_rule(value: int) -> str:
+    longest = sorted(RULES, key=lambda r: -len(r[1]))
+    cases = " ".join(f"WHEN {_fits(r[1].partition('/')[0], '/' + r[1].partition('/')[2])} THEN '{r[value]}'" for r in longest)
+    return f"CASE {cases} END"
+
+
+def _order_sql(k: int) -> str:
+    """One step of the smoothing: shares behind ``k - 1`` characters, leaning on the step before."""
+    share = "(coalesce({n}, 0) + 2.0 * p.{p}) / (coalesce({t}, 0) + 2.0) AS {p}"
+    return f"""
+seen{k} AS (SELECT right(gram, {k}) AS tail, sum(allow) AS na, sum(block) AS nb FROM counts GROUP BY 1),
+context{k} AS (SELECT substr(tail, 1, {k - 1}) AS context, sum(na) AS ta, sum(nb) AS tb FROM seen{k} GROUP BY 1),
+p{k} AS (
+  SELECT p.gram, {share.format(n="na", t="ta", p="pa")}, {share.format(n="nb", t="tb", p="pb")}
+  FROM p{k - 1} p LEFT JOIN seen{k} ON tail = right(p.gram, {k}) LEFT JOIN context{k} ON context = substr(right(p.gram, {k}), 1, {k - 1}))"""
+
+
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+OP2_SQL = f"""
+WITH rests AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parsed AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), {_LOWER}) AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rests),
+judged AS MATERIALIZED (
+  SELECT *, host || translate(path, {_LOWER}) AS t, {_by_rule(1)} AS rule, {_by_rule(0)} AS kind FROM parsed),
+texts AS MATERIALIZED (
+  SELECT t, count(*) FILTER (kind = 'allow') AS allow, count(*) FILTER (kind = 'block') AS block,
+    substr(md5(t), 1, 1) IN ('0', '1', '2') AS kept_back
+  FROM judged GROUP BY t),
+spread AS MATERIALIZED (
+  SELECT t, allow, block, kept_back, substr('^^^' || t || '$', i, 4) AS gram
+  FROM (SELECT *, unnest(range(1, length(t) + 2)) AS i FROM texts)),
+counts AS MATERIALIZED (
+  SELECT gram, sum(allow) AS allow, sum(block) AS block FROM spread WHERE NOT kept_back AND allow + block > 0 GROUP BY gram),
+p0 AS (
+  SELECT DISTINCT gram, 1.0 / (SELECT count(DISTINCT right(gram, 1)) + 1 FROM counts)::DOUBLE AS pa,
+    1.0 / (SELECT count(DISTINCT right(gram, 1)) + 1 FROM counts)::DOUBLE AS pb FROM spread),
+{_order_sql(1)},{_order_sql(2)},{_order_sql(3)},{_order_sql(4)},
+ratios AS (SELECT gram, CAST(round((ln(pa) - ln(pb)) * 1000000) AS BIGINT) AS ratio FROM p4),
+scored AS MATERIALIZED (
+  SELECT t, kept_back, any_value(allow) AS allow, any_value(block) AS block, sum(ratio) / 1000000 / count(*) AS score,
+    greatest(least(floor(CAST(sum(ratio) AS DOUBLE) / (count(*) * 10000)), 2000), -2000) AS bucket
+  FROM spread JOIN ratios USING (gram) GROUP BY t, kept_back),
+steps AS (SELECT bucket, sum(allow) AS a, sum(block) AS b FROM scored WHERE kept_back GROUP BY bucket),
+cuts AS (
+  SELECT c.bucket, sum(CASE WHEN s.bucket >= c.bucket THEN s.a ELSE 0 END) * sum(s.b)
+    + sum(CASE WHEN s.bucket < c.bucket THEN s.b ELSE 0 END) * sum(s.a) AS good, sum(s.a) AS a, sum(s.b) AS b
+  FROM steps c, steps s GROUP BY c.bucket),
+cut AS (
+  SELECT coalesce((SELECT bucket FROM cuts WHERE a > 0 AND b > 0 ORDER BY good DESC, bucket LIMIT 1), 0) AS cut)
+SELECT page_id, host, path, rule, coalesce(kind, CASE WHEN t = '' OR bucket >= cut THEN 'allow' ELSE 'block' END) AS verdict
+FROM judged JOIN scored USING (t), cut
+"""
+
+
+@query("op2_url_filters", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judge_urls(pages, rules=RULES).select("page_id", "host", "path", "rule", "verdict")
