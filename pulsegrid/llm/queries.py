@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import decontaminate, exact, jaccard, language, lines, packing, token_store, toxicity, urls
+from pulsegrid.llm import decontaminate, exact, jaccard, language, licences, lines, packing, token_store, toxicity, urls
 from pulsegrid.llm.common import spark_crc32
 from pulsegrid.session import scratch_path
 
@@ -197,3 +197,9 @@ FROM judged JOIN scored USING (t), cut
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urls.judge_urls(pages, rules=RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op4_license_scans")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licences.scan(docs, licences.fit(docs))
