@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsegrid.llm.common import ranges, slices, words_of_rows
+from pulsegrid.llm.common import content_key, ranges, slices, words_of_rows
 from pulsegrid.session import freeze, scratch_path
 
 # Bytes of text behind one row of the index.
@@ -290,3 +290,13 @@ def contamination(
         .withColumn("n_hit", F.coalesce("n_hit", F.lit(0)))
         .withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
     )
+
+
+def without_benchmark_text(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
+    """The rows of ``docs``, unchanged, in which no window of the benchmark occurs."""
+    keyed = docs.select("*", *content_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`")))
+    named = keyed.select(F.concat_ws(":", "__k1", "__k2").alias("__name"), F.col(f"`{text}`").alias("__body"))
+    hit = contamination(named, benchmark, doc_id="__name", text="__body", **settings).where("n_hit > 0")
+    leave = hit.select(F.col("doc_id").alias("__name")).distinct()
+    clean = keyed.withColumn("__name", F.concat_ws(":", "__k1", "__k2")).join(leave, "__name", "left_anti")
+    return clean.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -325,10 +325,12 @@ def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text", slack
     and for texts in no known language: their entropy lies more than ``slack``
     times as far above the language's mean as 99.9 % of its own texts of that
     length do, and nearer to that of a model without any knowledge than to the mean.
+    A model that knows no language calls everything ``und`` and rejects only
+    texts without a letter.
     """
     rows = entropies(docs, model, text=text)
     if not model.languages:
-        und = [F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected")]
+        und = [F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), (~F.col("has_letter")).alias("rejected")]
         return rows.select(*[f"`{c}`" for c in rows.columns if c not in ("n_grams", "has_letter", "entropy")], *und)
     least = F.array_min("entropy")
     at = F.array_position("entropy", least).cast("int")
@@ -344,3 +346,10 @@ def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text", slack
         F.when(letter, 1 / total).otherwise(0.0).alias("score"),
         (~letter | foreign).alias("rejected"),
     )
+
+
+def of_known_language(docs: DataFrame, model: LanguageModel, *, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, unchanged, whose text ``identify`` does not reject."""
+    whole = docs.withColumn("__whole", F.col(f"`{text}`"))
+    kept = identify(whole, model, text=text).where("not rejected")
+    return kept.select(*[F.col("__whole" if c == text else f"`{c}`").alias(c) for c in docs.columns])
