@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,34 +27,36 @@ def _lines(text: Column) -> Column:
 
 def _hashed(text: Column) -> Column:
     """``h, w`` of each line that is not blank: hash of the line without outer white space, and its words."""
-    each = F.transform(
-        F.filter(_lines(text), _nonblank),
-        lambda x: F.struct(
-            F.xxhash64(_bare(x)).alias("h"),
-            (F.length(_bare(x)) - F.length(F.replace(_bare(x), F.lit(" "), F.lit(""))) + 1).alias("w"),
-        ),
-    )
-    return each
+    bare = F.filter(F.transform(_lines(text), _bare), lambda x: x != "")
+    words = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1
+    return F.transform(bare, lambda x: F.struct(F.xxhash64(x).alias("h"), words(x).alias("w")))
 
 
-def _grams(noise_words: int) -> Column:
-    """For each line the run from it that just reaches ``noise_words``: hash, lines, and whether it does."""
+# Lines that are tried first; most runs are no longer.
+FEW = 4
+
+
+def _reaching(part: Callable[[int], Column], words: int) -> Column:
+    """The leading lines of ``part(most)`` that just reach ``words``: hash, number, and whether they do.
+
+    Every line has a word, so no more than ``words`` lines are ever needed.
+    """
     start = F.struct(F.lit(0).alias("w"), F.lit(0).cast("bigint").alias("h"), F.lit(0).alias("k"))
 
     def grow(a: Column, s: Column) -> Column:
         longer = F.struct((a["w"] + s["w"]).alias("w"), F.xxhash64(a["h"], s["h"]).alias("h"), (a["k"] + 1).alias("k"))
-        return F.when(a["w"] >= noise_words, a).otherwise(longer)
-
-    # every line has a word, so no run is longer than noise_words lines
-    return F.transform(
-        "__lines",
-        lambda _, i: F.aggregate(
-            F.slice("__lines", i + 1, noise_words),
-            start,
-            grow,
-            lambda a: F.struct(a["h"].alias("h"), a["k"].alias("k"), (a["w"] >= noise_words).alias("ok")),
-        ),
-    )
+        return F.when(a["w"] >= words, a).otherwise(longer)
+
+    def run(most: int) -> Column:
+        done = lambda a: F.struct(a["h"].alias("h"), a["k"].alias("k"), (a["w"] >= words).alias("ok"))
+        return F.aggregate(part(most), start, grow, done)
+
+    return F.get(F.transform(F.array(run(FEW)), lambda a: F.when(a["ok"], a).otherwise(run(words))), F.lit(0))
+
+
+def _grams(noise_words: int) -> Column:
+    """For each line the run from it that just reaches ``noise_words``."""
+    return F.transform("__lines", lambda _, i: _reaching(lambda most: F.slice("__lines", i + 1, most), noise_words))
 
 
 def _selected() -> Column:
@@ -67,6 +71,19 @@ def _selected() -> Column:
     return F.array_distinct(F.filter(F.transform("__grams", minimum), lambda p: p.isNotNull()))
 
 
+def _print(p: Column, around: int) -> Column:
+    """The fingerprint at a place: run, place, and the hashes of the lines around it, nearest first, up to ``around`` words."""
+    gram = F.get("__grams", p)
+    end = p + gram["k"]
+    before = lambda most: F.reverse(F.slice("__lines", F.greatest(p - most, F.lit(0)) + 1, F.least(p, F.lit(most))))
+    behind = lambda most: F.slice("__lines", end + 1, most)
+
+    def near(part: Callable[[int], Column]) -> Column:
+        return F.transform(F.slice(part(around), F.lit(1), _reaching(part, around)["k"]), lambda s: s["h"])
+
+    return F.struct(gram["h"].alias("gram"), gram["k"].alias("k"), p.alias("p"), near(before).alias("left"), near(behind).alias("right"))
+
+
 def _agreeing(left: Column, right: Column) -> Column:
     """How many leading values two arrays share."""
     same = F.zip_with(left, right, lambda a, b: a.eqNullSafe(b))
@@ -87,8 +104,8 @@ def repeated_runs(
     the first one in the order of ids (nulls last), and extended both ways as long
     as the lines are equal. Runs below ``noise_words`` are never reported.
 
-    Equal lines next to a run need not be carried further than
-    ``guaranteed_words`` lines, because what lies beyond has a fingerprint of its own.
+    An extension takes in the lines that just reach ``guaranteed_words`` words on
+    either side: what lies beyond has a fingerprint of its own.
     """
     if guaranteed_words < 2 * noise_words:
         raise ValueError("only runs of twice the noise words are guaranteed")
@@ -96,22 +113,20 @@ def repeated_runs(
         *content_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`")), F.col(f"`{doc_id}`").alias("__id"), _hashed(F.col(f"`{text}`")).alias("__lines")
     )
     hashed = freeze(keyed.where(F.size("__lines") > 0))
-    reach = F.lit(guaranteed_words)
     marked = hashed.withColumn("__grams", _grams(noise_words)).withColumn("__places", _selected())
-    spread = marked.select(
-        "__k1", "__k2", "__id", F.transform("__lines", lambda s: s["h"]).alias("__h"), "__grams", F.explode("__places").alias("__p")
+    # only the fingerprints leave their document, not its lines
+    found = marked.select(
+        "__k1", "__k2", "__id", F.explode(F.transform("__places", lambda p: _print(p, guaranteed_words))).alias("__print")
+    )
+    at = F.struct(
+        F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), F.col("__print.p").alias("p")
     )
-    gram = F.get("__grams", F.col("__p"))
-    end = F.col("__p") + gram["k"]
     prints = freeze(
-        spread.select(
-            gram["h"].alias("__gram"),
-            gram["k"].alias("__k"),
-            F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), F.col("__p").alias("p")).alias("__at"),
-            F.reverse(F.slice("__h", F.greatest(F.col("__p") - reach, F.lit(0)) + 1, F.least(F.col("__p"), reach))).alias("__left"),
-            F.slice("__h", end + 1, reach).alias("__right"),
+        found.select(
+            F.col("__print.gram").alias("__gram"), F.col("__print.k").alias("__k"), at.alias("__at"),
+            F.col("__print.left").alias("__left"), F.col("__print.right").alias("__right"),
         )
-    )
+    )
     first = (
         prints.groupBy("__gram")
         .agg(F.min(F.struct("__at", "__left", "__right")).alias("__first"), F.count("*").alias("__n"))

@@ -186,8 +186,8 @@ cuts AS (
   SELECT c.bucket, sum(CASE WHEN s.bucket >= c.bucket THEN s.a ELSE 0 END) * sum(s.b)
     + sum(CASE WHEN s.bucket < c.bucket THEN s.b ELSE 0 END) * sum(s.a) AS good, sum(s.a) AS a, sum(s.b) AS b
   FROM steps c, steps s GROUP BY c.bucket),
-cut AS (
-  SELECT coalesce((SELECT bucket FROM cuts WHERE a > 0 AND b > 0 ORDER BY good DESC, bucket LIMIT 1), 0) AS cut)
+gaps AS (SELECT *, least(greatest(0, coalesce(lag(bucket) OVER (ORDER BY bucket) + 1, -2000)), bucket) AS cut FROM cuts),
+cut AS (SELECT coalesce((SELECT cut FROM gaps WHERE a > 0 AND b > 0 ORDER BY good DESC, bucket LIMIT 1), 0) AS cut)
 SELECT page_id, host, path, rule, coalesce(kind, CASE WHEN t = '' OR bucket >= cut THEN 'allow' ELSE 'block' END) AS verdict
 FROM judged JOIN scored USING (t), cut
 """

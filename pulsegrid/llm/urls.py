@@ -129,12 +129,19 @@ def judge_urls(pages: DataFrame, *, rules: Sequence[tuple[str, str]], url: str =
 
 
 def best_cut(table: Sequence[tuple[int, int, int]]) -> int:
-    """The bucket from which on to allow, for ``(bucket, allowed, blocked)``: best balanced accuracy, ties to the lowest."""
+    """The bucket from which on to allow, for ``(bucket, allowed, blocked)``: best balanced accuracy.
+
+    Of buckets that are equally good the lowest counts; within the gap below it,
+    where nothing was seen, the cut goes as near to an even ratio as it can.
+    """
     allowed, blocked = sum(a for _, a, _ in table), sum(b for _, _, b in table)
     if not allowed or not blocked:
         return 0
     right = lambda cut: sum(a for k, a, _ in table if k >= cut) * blocked + sum(b for k, _, b in table if k < cut) * allowed
-    return max(sorted(k for k, _, _ in table), key=right)
+    buckets = sorted(k for k, _, _ in table)
+    best = max(buckets, key=right)
+    below = [k for k in buckets if k < best]
+    return min(max(0, below[-1] + 1 if below else -MOST), best)
 
 
 def allowed_urls(pages: DataFrame, *, rules: Sequence[tuple[str, str]], url: str = "url") -> DataFrame:

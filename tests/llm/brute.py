@@ -59,11 +59,14 @@ def line_dedup(docs, noise=25, reach=50):
         if (i, p) == (j, q):
             continue
         h, g = rows[i][2], rows[j][2]
-        left = 0
-        while left < reach and p - left > 0 and q - left > 0 and h[p - left - 1] == g[q - left - 1]:
+        w = [x.count(" ") + 1 for _, x in rows[i][1]]
+        left = right = total = 0
+        while total < reach and p - left > 0 and q - left > 0 and h[p - left - 1] == g[q - left - 1]:
             left += 1
-        right = 0
-        while right < reach and p + k + right < len(h) and q + k + right < len(g) and h[p + k + right] == g[q + k + right]:
+            total += w[p - left]
+        total = 0
+        while total < reach and p + k + right < len(h) and q + k + right < len(g) and h[p + k + right] == g[q + k + right]:
+            total += w[p + k + right]
             right += 1
         gone[i] |= set(range(p - left, p + k + right))
     out = {}
@@ -71,3 +74,93 @@ def line_dedup(docs, noise=25, reach=50):
         drop = {numbered[p][0] for p in gone[i]}
         out[i] = ("\n".join(x for no, x in enumerate(lines) if no not in drop) if drop else docs[i], len(drop))
     return out
+
+
+def grams(text, n=5):
+    w = words(text)
+    return frozenset(tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))) if w else frozenset()
+
+
+def jaccard_classes(docs, n=5, threshold=0.8):
+    """``{id: (class_id, text_class, n_links)}`` for ``{id: text}`` by comparing all pairs of different sets."""
+    sets = {i: grams(t, n) for i, t in docs.items()}
+    first = {}
+    for i in sorted(sets):
+        first.setdefault(sets[i] or i, i)
+    reps = sorted(i for s, i in first.items() if isinstance(s, frozenset))
+    links, head = dict.fromkeys(docs, 0), {i: i for i in docs}
+
+    def top(i):
+        while head[i] != i:
+            i = head[i]
+        return i
+
+    for k, a in enumerate(reps):
+        for b in reps[k + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both and both / (len(sets[a]) + len(sets[b]) - both) >= threshold:
+                links[a] += 1
+                links[b] += 1
+                x, y = top(a), top(b)
+                head[max(x, y)] = min(x, y)
+    own = {i: first[sets[i] or i] for i in docs}
+    return {i: (top(own[i]), own[i], links[own[i]]) for i in docs}
+
+
+def contamination(docs, items, window=10, slop=0):
+    """``{id: (n_words, n_hit, sorted items)}`` by trying every window at every place."""
+    windows = set()
+    for name, text in items:
+        w = words(text)
+        for a in range(max(1, len(w) - window + 1)) if w else ():
+            windows.add((name, tuple(w[a : a + window])))
+    out = {}
+    for i, text in docs.items():
+        w = words(text)
+        hit, found = set(), set()
+        for name, terms in windows:
+            for s in range(len(w) - len(terms) + 1):
+                if all(t in w[max(0, s + o - slop) : s + o + slop + 1] for o, t in enumerate(terms)):
+                    hit |= set(range(s, s + len(terms)))
+                    found.add(name)
+        out[i] = (len(w), len(hit), sorted(str(f) for f in found if f is not None))
+    return out
+
+
+def exact_groups(docs):
+    """``[(keep_id, size)]`` per ``(id, text)`` row; ids are distinct."""
+    key = lambda t: re.sub("[\x20\x09-\x0d]", "", t or "")
+    groups = {}
+    for i, t in docs:
+        groups.setdefault(key(t), []).append((-len(t or ""), i))
+    return {i: (min(groups[key(t)])[1], len(groups[key(t)])) for i, t in docs}
+
+
+def kneser_ney(texts, order=4):
+    """A function giving log P(gram) of a 4-gram of characters, from ``texts`` already padded."""
+    from collections import Counter
+
+    level = [Counter()]
+    for t in texts:
+        for a in range(len(t) - order + 1):
+            level[0][t[a : a + order]] += 1
+    for k in range(order - 1, 0, -1):
+        level.append(Counter(g[1:] for g in level[-1]))
+    level.reverse()
+
+    def discount(c):
+        n1, n2 = (sum(v == k for v in c.values()) for k in (1, 2))
+        return min(max(n1 / (n1 + 2 * n2) if n1 else 0.5, 0.1), 0.9)
+
+    d = [discount(c) for c in level]
+
+    def p(gram, symbols):
+        value = 1 / symbols
+        for k in range(1, order + 1):
+            tail = gram[-k:]
+            context = [v for g, v in level[k - 1].items() if g[:-1] == tail[:-1]]
+            if context:
+                value = max(level[k - 1][tail] - d[k - 1], 0) / sum(context) + d[k - 1] * len(context) / sum(context) * value
+        return value
+
+    return p, set(level[0])
