@@ -181,7 +181,7 @@ scored AS MATERIALIZED (
   SELECT t, kept_back, any_value(allow) AS allow, any_value(block) AS block, sum(ratio) / 1000000 / count(*) AS score,
     greatest(least(floor(CAST(sum(ratio) AS DOUBLE) / (count(*) * 10000)), 2000), -2000) AS bucket
   FROM spread JOIN ratios USING (gram) GROUP BY t, kept_back),
-steps AS (SELECT bucket, sum(allow) AS a, sum(block) AS b FROM scored WHERE kept_back GROUP BY bucket),
+steps AS (SELECT bucket, sum(allow) AS a, sum(block) AS b FROM scored WHERE kept_back AND allow + block > 0 GROUP BY bucket),
 cuts AS (
   SELECT c.bucket, sum(CASE WHEN s.bucket >= c.bucket THEN s.a ELSE 0 END) * sum(s.b)
     + sum(CASE WHEN s.bucket < c.bucket THEN s.b ELSE 0 END) * sum(s.a) AS good, sum(s.a) AS a, sum(s.b) AS b

@@ -114,7 +114,7 @@ def judge_urls(pages: DataFrame, *, rules: Sequence[tuple[str, str]], url: str =
     bucket = F.greatest(F.least(F.floor(F.col("__sum") / (F.col("__n") * STEP)), F.lit(MOST)), F.lit(-MOST)).cast("int")
     scored = scored.withColumn("__bucket", bucket)
     # at most 2 * MOST + 1 rows
-    table = scored.where(kept_back).groupBy("__bucket").agg(F.sum("allow").alias("a"), F.sum("block").alias("b")).collect()
+    table = scored.where(kept_back & (F.col("allow") + F.col("block") > 0)).groupBy("__bucket").agg(F.sum("allow").alias("a"), F.sum("block").alias("b")).collect()
     cut = best_cut([(r["__bucket"], r["a"], r["b"]) for r in table])
     method = F.when((F.col("__text") == "") | (F.col("__bucket") >= cut), "allow").otherwise("block")
     result = judged.join(scored.select("__text", "__bucket", "__sum", "__n"), "__text")
