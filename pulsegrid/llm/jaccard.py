@@ -190,7 +190,7 @@ def jaccard_classes(
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, class_id, text_class, n_links, n_grams, __k1, __k2``.
+    """One row per row of ``docs``: ``doc_id, class_id, text_class, n_links, n_grams, __class, __k1, __k2``.
 
     Two texts are linked if the Jaccard similarity of their sets of ``n`` words
     (runs of ASCII letters and digits and anything beyond ASCII, A-Z as a-z)
@@ -203,7 +203,8 @@ def jaccard_classes(
     A text without words (null, empty or other signs only) is never linked and
     is a class of its own. A text of fewer than ``n`` words is one n-gram. Null ids
     come after all others. ``__k1, __k2`` identify id and text; rows that repeat
-    both are alike in every column. A class whose ids are all null has a null id.
+    both are alike in every column. A class whose ids are all null has a null id;
+    ``__class`` tells classes apart even where they share an id (null: no words).
 
     Equal texts are folded before anything is compared. Clusters of texts that
     share bands are cut into blocks of bounded size, and pairs of blocks are
@@ -241,19 +242,20 @@ def jaccard_classes(
     named = classes.select("cid", "id", *by_set)
     order = F.struct(F.col("id").isNull(), "id").alias("first")
     heads = named.join(groups, "cid").groupBy("root").agg(F.min(order).alias("head")).select("root", F.col("head.id").alias("class_id"))
-    linked = groups.join(heads, "root").join(links, "cid").select("cid", "class_id", "n_links", F.lit(True).alias("linked"))
+    linked = groups.join(heads, "root").join(links, "cid").select("cid", "root", "class_id", "n_links", F.lit(True).alias("linked"))
     result = named.join(linked, "cid", "left").select(
         *by_set,
         F.when(F.col("linked"), F.col("class_id")).otherwise(F.col("id")).alias("class_id"),
         F.col("id").alias("text_class"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        F.coalesce("root", "cid").alias("__class"),
     )
     wordless = sketch.where("n_grams = 0").select(
         "__k1", "__k2", F.col("id").alias("doc_id"), F.col("id").alias("class_id"), F.col("id").alias("text_class"),
-        F.lit(0).cast("bigint").alias("n_links"), "n_grams",
+        F.lit(0).cast("bigint").alias("n_links"), "n_grams", F.lit(None).cast("bigint").alias("__class"),
     )
     worded = sketch.where("n_grams > 0").join(result, by_set)
-    columns = ["doc_id", "class_id", "text_class", "n_links", "n_grams", "__k1", "__k2"]
+    columns = ["doc_id", "class_id", "text_class", "n_links", "n_grams", "__class", "__k1", "__k2"]
     return worded.withColumnRenamed("id", "doc_id").select(*columns).unionByName(wordless.select(*columns))
 
 
@@ -265,10 +267,9 @@ def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     found = freeze(jaccard_classes(docs, doc_id=doc_id, text=text, **settings))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "__k1", "__k2").alias("first")
     worded = found.where("n_grams > 0")
-    # The texts of a class whose ids are all null have a null class; the text class is null as well then.
-    heads = worded.groupBy("class_id").agg(F.min(order).alias("first"))
-    rows = worded.groupBy("class_id", "__k1", "__k2").agg(F.count("*").alias("n"))
-    joined = rows.join(heads, rows["class_id"].eqNullSafe(heads["class_id"]))
+    heads = worded.groupBy("__class").agg(F.min(order).alias("first"))
+    rows = worded.groupBy("__class", "__k1", "__k2").agg(F.count("*").alias("n"))
+    joined = rows.join(heads, "__class")
     stays = (F.col("first.__k1") == F.col("__k1")) & (F.col("first.__k2") == F.col("__k2"))
     decided = freeze(joined.select("__k1", "__k2", "n", stays.alias("stays")))
     keyed = docs.select("*", *content_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`")))

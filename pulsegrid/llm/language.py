@@ -189,6 +189,8 @@ def fit(docs: DataFrame, *, lang: str = "lang", text: str = "text") -> LanguageM
     """
     alphas, backs, languages, floor = _tables(count_ngrams(docs, lang=lang, text=text))
     spark = docs.sparkSession
+    if not languages:
+        return LanguageModel([], [], [], [], [], floor)
     names = F.broadcast(spark.createDataFrame([(n,) for n in languages], "lang string"))
     slots, logp, contexts, backoff = [], [], [], []
     lower = None
@@ -211,8 +213,7 @@ def fit(docs: DataFrame, *, lang: str = "lang", text: str = "text") -> LanguageM
             keys, matrix = _matrix(values, "gram", "value", languages)
             (slots, contexts)[out].append(keys)
             (logp, backoff)[out].append(matrix)
-    model = LanguageModel(languages, slots, logp, contexts, backoff, floor)
-    return _calibrated(docs, model, lang, text) if languages else model
+    return _calibrated(docs, LanguageModel(languages, slots, logp, contexts, backoff, floor), lang, text)
 
 
 class _Scorer:
@@ -221,10 +222,13 @@ class _Scorer:
     def __init__(self, model: LanguageModel):
         self.model = model
         self.direct = np.full(1 << SLOT_BITS, -1, np.int32)
-        self.direct[model.slots[-1]] = np.arange(len(model.slots[-1]), dtype=np.int32)
+        if model.languages:
+            self.direct[model.slots[-1]] = np.arange(len(model.slots[-1]), dtype=np.int32)
 
     def entropies(self, grams: np.ndarray, edges: np.ndarray) -> np.ndarray:
         m = self.model
+        if not m.languages:
+            return np.empty((len(edges) - 1, 0))
         at = self.direct[_slot(grams)]
         values = m.logp[-1][at]
         missing = np.flatnonzero(at < 0)

@@ -59,12 +59,12 @@ def token_pieces(
     return rows.mapInArrow(pieces, schema)
 
 
-def exact_fill(left: np.ndarray, gap: int) -> list[int] | None:
-    """One, two or three lengths on hand that add up to ``gap``; the largest first."""
+def exact_fill(left: np.ndarray, gap: int, most: int = 3) -> list[int] | None:
+    """One, two or three lengths on hand, ``most`` of them, that add up to ``gap``; the largest first."""
     if left[gap] > 0:
         return [gap]
-    pair = _exact_pair(left, gap, gap)
-    if pair:
+    pair = _exact_pair(left, gap, gap) if most > 1 else None
+    if pair or most < 3:
         return pair
     for first in np.flatnonzero(left[1 : gap - 1])[::-1] + 1:
         if first * 3 < gap:
@@ -90,12 +90,21 @@ def _exact_pair(left: np.ndarray, total: int, largest: int) -> list[int] | None:
     return [low + int(found[-1]), total - low - int(found[-1])] if len(found) else None
 
 
-def plan_patterns(counts: np.ndarray) -> list[tuple[int, list[tuple[int, int]]]]:
+Pattern = tuple[int, list[tuple[int, int]]]
+
+
+def plan_patterns(counts: np.ndarray) -> list[Pattern]:
+    """The plan of ``_patterns`` with the fewest sequences, with exact sums of up to three, two or one length."""
+    plans = [_patterns(counts, most) for most in (3, 2, 1)]
+    return min(plans, key=lambda plan: sum(times for times, _ in plan))
+
+
+def _patterns(counts: np.ndarray, most: int) -> list[Pattern]:
     """Patterns ``(how often, [(length, copies), ...])`` that use up all lengths.
 
     ``counts[l]`` is the number of pieces of length ``l``, the last index is
     the capacity. The longest piece left opens a sequence. Its gap is closed
-    exactly if one to three lengths on hand do so; else the longest piece that
+    exactly if one to ``most`` lengths on hand do so; else the longest piece that
     fits goes in (best fit) and the smaller gap is tried again. A pattern is
     repeated until a length in it runs out, so the number of patterns depends on
     the capacity and not on the number of pieces.
@@ -112,7 +121,7 @@ def plan_patterns(counts: np.ndarray) -> list[tuple[int, list[tuple[int, int]]]]
         left[used[0]] -= 1
         gap = capacity - used[0]
         while gap > 0:
-            fill = exact_fill(left, gap)
+            fill = exact_fill(left, gap, most)
             if fill is None:
                 fits = np.flatnonzero(left[: gap + 1])
                 if not len(fits):
@@ -129,7 +138,7 @@ def plan_patterns(counts: np.ndarray) -> list[tuple[int, list[tuple[int, int]]]]
         out.append((times, sorted(copies.items(), reverse=True)))
 
 
-def _placements(patterns: list[tuple[int, list[tuple[int, int]]]], capacity: int) -> dict[str, np.ndarray]:
+def _placements(patterns: list[Pattern], capacity: int) -> dict[str, np.ndarray]:
     """For each length, which ranks go to which sequences; sorted by length and first rank."""
     rank = np.zeros(capacity + 1, np.int64)
     rows, sequence = [], 0

@@ -164,3 +164,15 @@ def kneser_ney(texts, order=4):
         return value
 
     return p, set(level[0])
+
+
+def first_fit_decreasing(counts, capacity):
+    room = []
+    for length in range(capacity, 0, -1):
+        for _ in range(int(counts[length])):
+            k = next((k for k, r in enumerate(room) if r >= length), None)
+            if k is None:
+                room.append(capacity)
+                k = len(room) - 1
+            room[k] -= length
+    return len(room)

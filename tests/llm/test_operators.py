@@ -191,8 +191,14 @@ def test_plan_fills_exactly():
             for length, n in copies:
                 used[length] += times * n
         assert (used == counts).all()
-        least = -(-int((counts * np.arange(capacity + 1)).sum()) // capacity)
-        assert sum(times for times, _ in plan) <= least + 1
+        assert sum(times for times, _ in plan) <= brute.first_fit_decreasing(counts, capacity)
+
+
+def test_plan_reaches_the_lower_bound_where_small_pieces_abound():
+    draw = np.random.default_rng(2)
+    counts = np.bincount(np.minimum(draw.geometric(0.01, 5000), 512), minlength=513)
+    total = int((counts * np.arange(513)).sum())
+    assert sum(times for times, _ in packing.plan_patterns(counts)) == -(-total // 512)
 
 
 def test_exact_fill_uses_what_is_there():
