@@ -354,6 +354,6 @@ def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text", slack
 
 def of_known_language(docs: DataFrame, model: LanguageModel, *, text: str = "text") -> DataFrame:
     """The rows of ``docs``, unchanged, whose text ``identify`` does not reject."""
-    whole = docs.withColumn("__whole", F.col(f"`{text}`"))
-    kept = identify(whole, model, text=text).where("not rejected")
-    return kept.select(*[F.col("__whole" if c == text else f"`{c}`").alias(c) for c in docs.columns])
+    carried = [F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(docs.columns)]
+    kept = identify(docs.select(*carried, F.col(f"`{text}`").alias("__body")), model, text="__body").where("not rejected")
+    return kept.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(docs.columns)])
