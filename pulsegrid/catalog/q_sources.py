@@ -81,6 +81,54 @@ def s04(spark, d):
     )
 
 
+@query(
+    "s04_stacked_layouts",
+    f"""SELECT ts AS "timestamp", 'steps' AS source, event_id,
+    CASE WHEN event_type <> 'view' THEN {r('value')} END AS steps, CASE WHEN event_type = 'click' THEN user_id END AS device
+    FROM events WHERE event_type IN ('click', 'signup', 'view')""",
+)
+def s04_layouts(spark, d):
+    """Files of one pattern with a further column, another order, a missing one, and without a time column."""
+    base = scratch_path(spark, "s04l")
+    layouts = {
+        "click": [F.col("ts").alias("timestamp"), "event_id", F.col("value").alias("steps"), F.col("user_id").alias("device")],
+        "signup": [F.col("value").alias("steps"), "event_id", F.col("ts").alias("timestamp")],
+        "view": ["event_id", F.col("ts").alias("timestamp")],
+        "error": ["event_id", F.col("value").alias("steps")],
+    }
+    for kind, columns in layouts.items():
+        sinks.write_table(events(spark, d).where(F.col("event_type") == kind).select(*columns), f"{base}/steps_{kind}.csv", fmt="csv")
+    df = files.read_source(spark, base, "steps_*.csv", "steps")
+    return df.select(
+        "timestamp", "source", F.col("event_id").cast("bigint").alias("event_id"),
+        F.col("steps").cast("double").alias("steps"), F.col("device").cast("bigint").alias("device"),
+    )
+
+
+@query("s05_stacked_tree", f"SELECT event_id, {r('value')} AS value, CASE WHEN user_id % 2 = 0 THEN user_id END AS user_id FROM events")
+def s05_stacked(spark, d):
+    path = scratch_path(spark, "s05s")
+    e = events(spark, d)
+    sinks.write_table(e.where("user_id % 2 = 0").select("user_id", "value", "event_type", "event_id"), f"{path}/a", fmt="csv")
+    sinks.write_table(e.where("user_id % 2 <> 0").select("event_id", "value"), f"{path}/b", fmt="csv")
+    return files.read_tree(spark, path, "event_id bigint, user_id bigint, value double")
+
+
+@query(
+    "s05_skipped_files",
+    "SELECT reason, rows FROM (SELECT 'no known column' AS reason, count(*) AS rows FROM events WHERE event_type = 'error') WHERE rows > 0",
+)
+def s05_skipped(spark, d):
+    """Files without a known column are reported, here with the rows that they hold."""
+    path = scratch_path(spark, "s05r")
+    e = events(spark, d)
+    sinks.write_table(e.where("event_type <> 'error'").select("event_id", "value"), f"{path}/good", fmt="csv")
+    sinks.write_table(e.where("event_type = 'error'").select("ts", "event_type").coalesce(1), f"{path}/other", fmt="csv")
+    skipped = files.skipped_files(spark, path, "event_id bigint, value double")
+    held = spark.read.option("header", True).csv(f"{path}/other").agg(F.count("*").alias("rows"))
+    return skipped.select("reason").crossJoin(F.broadcast(held))
+
+
 @query("s05_recursive_scan", f"SELECT event_id, user_id, {r('value')} AS value FROM events")
 def s05(spark, d):
     path = sinks.write_table(
@@ -101,7 +149,7 @@ def s06(spark, d):
     path = sinks.write_table(
         events(spark, d).select("event_id", name.alias("part")), scratch_path(spark, "s06"), ["part"], "csv"
     )
-    scan = files.read_tree(spark, path, "event_id bigint")
+    scan = files.read_tree(spark, path, "event_id bigint", with_file=True)
     return files.with_file_columns(scan, level=-2).drop("source_file")
 
 

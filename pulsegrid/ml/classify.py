@@ -29,8 +29,8 @@ WINDOW = {
     "logistic": {"C": 1.0, "maxIter": 1000},
 }
 REGULARISED = {
-    "forest": {"numTrees": 50, "maxDepth": 3},
-    "boosted": {"maxIter": 50, "maxDepth": 2, "stepSize": 0.03},
+    "forest": {"numTrees": 50, "maxDepth": 3, "minInstancesPerNode": 10},
+    "boosted": {"maxIter": 50, "maxDepth": 2, "stepSize": 0.03, "subsamplingRate": 0.7, "featureSubsetStrategy": "0.7"},
     "logistic": {"C": 0.5, "maxIter": 1000},
 }
 BINARY = {

@@ -79,5 +79,6 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def with_class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
+    """Every row with the weight of its class; a row without a label keeps its place with a NULL weight."""
     weights = class_weights(df, label).select(label, F.col("weight").alias(out))
-    return df.join(weights, label)
+    return df.join(weights, label, "left")

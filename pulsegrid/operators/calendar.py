@@ -26,7 +26,8 @@ def calendar_facts(
     ``cal_prev`` (days since the last end), NULL where there is none, and ``cal_known`` (the
     group has a calendar).
 
-    Containment includes both ends. ``inclusive_next`` counts a start on the
+    Containment includes both ends; an entry that ends before it starts contains no
+    day, but its start and end count as next and previous. ``inclusive_next`` counts a start on the
     same day as next.
     """
     if _is_small(calendar):
@@ -64,7 +65,7 @@ def _facts_by_day(days: DataFrame, calendar: DataFrame, inclusive_next: bool) ->
     group and calendar day, so the windows per group are bounded by the length of the calendar."""
     days = days.where("__g is not null and __d is not null")
     inside = (
-        calendar.select(
+        calendar.where(F.col("start") <= F.col("end")).select(
             F.col("group").alias("__g"),
             "seq",
             "name",

@@ -25,12 +25,8 @@ def require_columns(df: DataFrame, required: Iterable[str]) -> DataFrame:
 
 
 def first_matching(columns: Sequence[str], patterns: Sequence[str]) -> str | None:
-    """First column, in column order per pattern, that matches one of the patterns."""
-    for pattern in patterns:
-        for c in columns:
-            if re.search(pattern, c, re.IGNORECASE):
-                return c
-    return None
+    """First column, in column order, that matches any of the patterns."""
+    return next((c for c in columns if any(re.search(p, c, re.IGNORECASE) for p in patterns)), None)
 
 
 def detect_column(columns: Sequence[str], names: Sequence[str], substrings: Sequence[str]) -> str | None:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.plans.ordered import position
+from pulsegrid.plans.ordered import matched, position
 
 
 def _assign(rank: Column, n: Column, train: float, val: float) -> Column:
@@ -41,13 +41,13 @@ def random_split(
     val: float = 0.15,
     seed: int = 42,
 ) -> DataFrame:
-    """Adds ``split`` at random with exact sizes, per class of ``stratify`` if given."""
+    """Adds ``split`` at random with exact sizes, per class of ``stratify`` if given; rows without a class are a class of their own."""
     keys = [stratify] if stratify else []
     shuffled = df.withColumn("__h", F.xxhash64(F.lit(seed), F.col(row_id)))
     ranked = position(shuffled, keys, [F.col("__h"), F.col(row_id)], "__rank")
     if stratify:
         sizes = df.groupBy(stratify).agg(F.count("*").alias("__n"))
-        ranked = ranked.join(sizes, stratify)
+        ranked = matched(ranked, sizes, [stratify])
         n = F.col("__n")
     else:
         n = F.lit(df.count())

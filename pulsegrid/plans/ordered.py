@@ -6,7 +6,8 @@ Beyond the limit (and always when there is no key at all) rows are
 range-partitioned on ``(keys, order)``, whatever the key distribution; each
 range is processed on its own, and what crosses range borders travels in a
 carry table. Only the key that a range begins or ends with can need a carry, so
-that table has at most two rows per range and is safe to broadcast.
+that table has at most two rows per range. Whether to broadcast it is left to
+Spark's own check of its size.
 
 ``order`` must be unique within a key; pass a tie-break column.
 """
@@ -69,6 +70,13 @@ def range_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[Column], ra
     return freeze(ranged)
 
 
+def matched(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """``left JOIN right USING (on)``, a NULL key being a key like any other, as it is for windows and groupings."""
+    named = right.withColumnsRenamed({k: f"__r{i}" for i, k in enumerate(on)})
+    same = [F.col(f"`{k}`").eqNullSafe(F.col(f"__r{i}")) for i, k in enumerate(on)]
+    return left.join(named, same, how).drop(*[f"__r{i}" for i in range(len(on))])
+
+
 def _unbounded_to(w: WindowSpec, end: int) -> WindowSpec:
     return w.rowsBetween(Window.unboundedPreceding, end)
 
@@ -92,9 +100,8 @@ def running_sums(
     carry = totals.select(
         CHUNK, *keys, *[F.sum(f"__t_{name}").over(before).alias(f"__c_{name}") for name in sums]
     ).where(" or ".join(f"__c_{name} is not null" for name in sums))
-    joined = parts.withColumns(
-        {f"__l_{name}": F.sum(f"__w_{name}").over(local) for name in sums}
-    ).join(F.broadcast(carry), [CHUNK, *keys], "left")
+    summed = parts.withColumns({f"__l_{name}": F.sum(f"__w_{name}").over(local) for name in sums})
+    joined = matched(summed, carry, [CHUNK, *keys], "left")
     return joined.select(
         *df.columns,
         *[
@@ -155,7 +162,7 @@ def neighbours(
         {f"__lp_{c}": F.last(c, ignorenulls=True).over(back) for c in cols}
         | {f"__ln_{c}": F.last(c, ignorenulls=True).over(ahead) for c in cols}
     )
-    return local.join(F.broadcast(carry), [CHUNK, *keys], "left").select(
+    return matched(local, carry, [CHUNK, *keys], "left").select(
         *df.columns,
         *[F.coalesce(f"__lp_{c}", f"__cp_{c}").alias(p) for c, (p, _) in cols.items()],
         *[F.coalesce(f"__ln_{c}", f"__cn_{c}").alias(n) for c, (_, n) in cols.items()],

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.plans.ordered import largest_group, running_sums
+from pulsegrid.plans.ordered import largest_group, matched, running_sums
 from pulsegrid.session import freeze, max_group_rows
 
 
@@ -34,7 +34,7 @@ def exact_quantiles(
     ranked = running_sums(counts, keys, [F.col("__v")], {"__cum": F.col("__n")})
     totals = counts.groupBy(*keys).agg(F.sum("__n").alias("__total"))
     # the totals have one row per group; without keys it is a single row
-    ranked = ranked.join(totals, list(keys)) if keys else ranked.crossJoin(F.broadcast(totals))
+    ranked = matched(ranked, totals, list(keys)) if keys else ranked.crossJoin(F.broadcast(totals))
     picks, outs = [], []
     for i, (name, p) in enumerate(probs.items()):
         pos = F.lit(float(p)) * (F.col("__total") - 1)
@@ -75,7 +75,9 @@ def quantile_table(
     long form, where each column is a group like any other.
     """
     if df.count() > max_group_rows(df.sparkSession):
-        return exact_quantiles(melt(df, [], cols, name), [name], "value", probs)
+        found = exact_quantiles(melt(df, [], cols, name), [name], "value", probs)
+        # a column without any value has a row as well
+        return df.sparkSession.createDataFrame([(c,) for c in cols], f"`{name}` string").join(found, name, "left")
     q = F.array(*[F.lit(float(p)) for p in probs.values()])
     row = df.agg(*[F.percentile(F.col(c).cast("double"), q).alias(f"q_{i}") for i, c in enumerate(cols)])
     return columns_as_rows(row, cols, ["q"], name).select(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
@@ -45,6 +46,73 @@ SOURCE_PATTERNS = {
 }
 
 
+def file_headers(
+    spark: SparkSession, path: str | Sequence[str], recursive: bool = False, pattern: str | None = None
+) -> DataFrame:
+    """``path, length, header`` of every file: its first line, NULL where it has none or cannot be read.
+
+    One distributed pass over the files as lines; nothing is parsed.
+    """
+    options = {"recursiveFileLookup": recursive} | ({"pathGlobFilter": pattern} if pattern else {})
+    paths = path if isinstance(path, str) else list(path)
+    place = F.col("_metadata.file_path").alias("__file")
+    files = spark.read.format("binaryFile").options(**options).load(paths).select(place, "path", "length")
+    lines = (
+        spark.read.options(ignoreCorruptFiles=True, ignoreMissingFiles=True, **options)
+        .text(paths)
+        .select(place, F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__row"), "value")
+        .where("__block = 0")
+    )
+    first = lines.groupBy("__file").agg(F.min_by("value", "__row").alias("header"))
+    return files.join(first, "__file", "left").drop("__file")
+
+
+def _names(header: str, sep: str) -> list[str]:
+    """Column names of a header line; empty and repeated ones get their position."""
+    names = next(csv.reader([header.removeprefix("\ufeff")], delimiter=sep), [])
+    lower = [n.strip().lower() for n in names]
+    return [f"_c{i}" if not n.strip() else f"{n.strip()}{i}" if lower.count(lower[i]) > 1 else n.strip() for i, n in enumerate(names)]
+
+
+def _scans(spark: SparkSession, files: DataFrame, sep: str, types: Mapping[str, T.DataType], **options: str) -> list[DataFrame]:
+    """One scan per distinct header, its columns named by the header. ``types`` by lower-case name; others are text.
+
+    The driver sees one row per file, as it does when Spark lists them.
+    """
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for row in files.where("header is not null").orderBy("path").collect():
+        by_header.setdefault(tuple(_names(row["header"], sep)), []).append(row["path"])
+    reader = spark.read.options(header=True, sep=sep, mode="PERMISSIVE", quote='"', escape='"', **options)
+    return [
+        reader.schema(T.StructType([T.StructField(n, types.get(n.lower(), T.StringType())) for n in names])).csv(paths)
+        for names, paths in by_header.items()
+    ]
+
+
+def _schema(spark: SparkSession, schema: T.StructType | str) -> T.StructType:
+    return schema if isinstance(schema, T.StructType) else spark.createDataFrame([], schema).schema
+
+
+def _by_name(
+    spark: SparkSession, files: DataFrame, schema: T.StructType, sep: str, extra: Mapping[str, Column], **options: str
+) -> DataFrame:
+    """The files stacked by column name; columns that a file lacks are NULL, further ones are left out."""
+    types = {f.name.lower(): f.dataType for f in schema.fields}
+    out = None
+    for scan in _scans(spark, files, sep, types, **options):
+        own = {c.lower(): c for c in scan.columns}
+        picked = [
+            F.col(f"`{own[f.name.lower()]}`").alias(f.name) if f.name.lower() in own else F.lit(None).cast(f.dataType).alias(f.name)
+            for f in schema.fields
+        ]
+        part = scan.select(*picked, *[c.alias(n) for n, c in extra.items()])
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        empty = spark.createDataFrame([], schema)
+        return empty.select("*", *[F.lit(None).cast("string").alias(n) for n in extra])
+    return out
+
+
 def read_csv(
     spark: SparkSession,
     path: str | Sequence[str],
@@ -52,10 +120,16 @@ def read_csv(
     sep: str = ",",
     **options: str,
 ) -> DataFrame:
-    """CSV with a header. A schema saves the pass that infers the types."""
+    """CSV with a header. A schema saves the pass that infers the types.
+
+    The columns of a schema are found by name in each file's own header, whatever their
+    order; what a file lacks is NULL, what the schema does not name is left out.
+    Without a schema the files are taken to share one header.
+    """
+    if schema is not None:
+        return _by_name(spark, file_headers(spark, path), _schema(spark, schema), sep, {}, **options)
     reader = spark.read.options(header=True, sep=sep, mode="PERMISSIVE", quote='"', escape='"', **options)
-    reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
-    return reader.csv(path if isinstance(path, str) else list(path))
+    return reader.option("inferSchema", True).csv(path if isinstance(path, str) else list(path))
 
 
 def read_json(
@@ -113,37 +187,42 @@ def read_source(
     schema: str | None = None,
     path_levels: Mapping[str, int] | None = None,
 ) -> DataFrame | None:
-    """All files of one pattern as one scan: ``timestamp``, ``source`` and the value columns.
+    """All files of one pattern: ``timestamp``, ``source`` and the value columns.
 
+    Files are stacked by column name, one scan per distinct header; what a file
+    lacks is NULL. Files without a time column are left out (``skipped_files`` names them).
     ``path`` may hold wildcards. ``path_levels`` adds columns that name a part of
     the file's path (``{"user": -4}``) and ``row_seq``, which orders the rows by
     file and position. None if no file matches or the files have no time column.
     """
-    reader = spark.read.options(ignoreCorruptFiles=True)
-    if schema:
-        reader = reader.schema(schema)
     files = f"{path.rstrip('/')}/{pattern}"
     try:
         if pattern.endswith(".json"):
-            df = flatten_structs(reader.options(multiLine=True).json(files))
+            reader = spark.read.schema(schema) if schema else spark.read
+            scans = [flatten_structs(reader.options(multiLine=True).json(files))]
         else:
-            df = reader.options(header=True, enforceSchema=False).csv(files)
+            types = {f.name.lower(): f.dataType for f in _schema(spark, schema).fields} if schema else {}
+            scans = _scans(spark, file_headers(spark, files), ",", types)
     except AnalysisException as error:
         if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
         raise
-    ts = time_column(df)
-    if ts is None or not df.columns:
-        return None
-    drop = {"timestamp", "source", "date", "time", "datetime"}
-    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in drop]
-    if path_levels:
-        kept += [file_name(level).alias(c) for c, level in path_levels.items()]
-        place = ("file_path", "file_block_start")
-        kept.append(
-            F.struct(*[F.col(f"_metadata.{p}") for p in place], F.monotonically_increasing_id().alias("row")).alias("row_seq")
-        )
-    return df.select(ts.alias("timestamp"), F.lit(source).alias("source"), *kept)
+    stacked = None
+    for df in scans:
+        ts = time_column(df)
+        if ts is None or not df.columns:
+            continue
+        drop = {"timestamp", "source", "date", "time", "datetime"}
+        kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in drop]
+        if path_levels:
+            kept += [file_name(level).alias(c) for c, level in path_levels.items()]
+            place = ("file_path", "file_block_start")
+            kept.append(
+                F.struct(*[F.col(f"_metadata.{p}") for p in place], F.monotonically_increasing_id().alias("row")).alias("row_seq")
+            )
+        part = df.select(ts.alias("timestamp"), F.lit(source).alias("source"), *kept)
+        stacked = part if stacked is None else stacked.unionByName(part, allowMissingColumns=True)
+    return stacked
 
 
 def read_sources(
@@ -164,17 +243,37 @@ def read_sources(
     return found
 
 
-def read_tree(spark: SparkSession, path: str, schema: str, pattern: str = "*.csv", sep: str = ",") -> DataFrame:
-    """Recursive scan of a directory tree; unreadable files are skipped, bad fields are NULL."""
-    return spark.read.options(
-        header=True,
-        sep=sep,
-        recursiveFileLookup=True,
-        pathGlobFilter=pattern,
-        ignoreCorruptFiles=True,
-        ignoreMissingFiles=True,
-        mode="PERMISSIVE",
-    ).schema(schema).csv(path)
+def read_tree(
+    spark: SparkSession, path: str, schema: str, pattern: str = "*.csv", sep: str = ",", with_file: bool = False
+) -> DataFrame:
+    """Recursive scan of a directory tree; columns are found by each file's header, bad fields are NULL.
+
+    Files that ``skipped_files`` reports give no rows. ``with_file`` adds ``file_path``.
+    """
+    wanted = _schema(spark, schema)
+    files = _judged(spark, path, wanted, pattern, sep).where("reason is null")
+    extra = {"file_path": F.col("_metadata.file_path")} if with_file else {}
+    return _by_name(spark, files, wanted, sep, extra, ignoreMissingFiles="true")
+
+
+def skipped_files(
+    spark: SparkSession, path: str, schema: str, pattern: str = "*.csv", sep: str = ","
+) -> DataFrame:
+    """``path, length, reason`` of the files that ``read_tree`` leaves out."""
+    judged = _judged(spark, path, _schema(spark, schema), pattern, sep)
+    return judged.where("reason is not null").select("path", "length", "reason")
+
+
+def _judged(spark: SparkSession, path: str, schema: T.StructType, pattern: str, sep: str) -> DataFrame:
+    files = file_headers(spark, path, recursive=True, pattern=pattern)
+    names = F.transform(F.split(F.regexp_replace("header", '["\\uFEFF]', ""), f"\\Q{sep}\\E"), lambda n: F.lower(F.trim(n)))
+    known = F.arrays_overlap(names, F.array(*[F.lit(f.name.lower()) for f in schema.fields]))
+    reason = (
+        F.when(F.col("length") == 0, "empty")
+        .when(F.col("header").isNull(), "unreadable")
+        .when(~known, "no known column")
+    )
+    return files.withColumn("reason", reason)
 
 
 def file_name(level: int = -1) -> Column:
@@ -185,9 +284,9 @@ def file_name(level: int = -1) -> Column:
 def with_file_columns(df: DataFrame, level: int = -1) -> DataFrame:
     """Adds ``source_file``, ``file_user`` (first integer of the name) and ``file_date`` (last ``_`` token).
 
-    Has to be called on the scan itself, where the file metadata is known.
+    Needs a column ``file_path`` (``read_tree`` with ``with_file``), which it drops.
     """
-    name = file_name(level)
+    name = F.url_decode(F.element_at(F.split("file_path", "/"), level))
     stem = F.regexp_replace(name, r"\.[^.]*$", "")
     return df.withColumns(
         {
@@ -195,7 +294,7 @@ def with_file_columns(df: DataFrame, level: int = -1) -> DataFrame:
             "file_user": F.regexp_extract(name, r"(\d+)", 1).try_cast("bigint"),
             "file_date": F.element_at(F.split(stem, "_"), -1),
         }
-    )
+    ).drop("file_path")
 
 
 def category_of(name: Column, keywords: Mapping[str, str] = SENSOR_CATEGORIES) -> Column:

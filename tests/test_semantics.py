@@ -278,7 +278,7 @@ def test_sources(spark, tmp_path):
     tree = tmp_path / "tree" / "2024"
     tree.mkdir(parents=True)
     (tree / "Lab_3SP_user_012_2024-05-01.csv").write_text("t;v\n1;2.5\nx;y\n")
-    scan = files.read_tree(spark, str(tmp_path / "tree"), "t int, v double", sep=";")
+    scan = files.read_tree(spark, str(tmp_path / "tree"), "t int, v double", sep=";", with_file=True)
     rows = files.with_file_columns(scan).withColumn("cat", files.category_of(F.col("source_file"))).orderBy(F.col("t").desc_nulls_last()).collect()
     assert (rows[0]["v"], rows[0]["file_user"], rows[0]["file_date"], rows[0]["cat"]) == (2.5, 3, "2024-05-01", "Sensor Lab 3SP")
     assert rows[1]["t"] is None

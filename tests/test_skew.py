@@ -9,9 +9,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import sequences, split
+from pulsegrid.operators.asof import nearest_asof
 from pulsegrid.operators.calendar import MAX_ENTRIES, calendar_facts
 from pulsegrid.operators import calendar as cal
 from pulsegrid.operators.joins import keep_one
+from pulsegrid.operators.stats import robust_summary
+from pulsegrid.ml.fitted import with_class_weights
 from pulsegrid.plans import ordered
 from pulsegrid.plans.quantile import exact_quantiles
 from pulsegrid.plans.skew import salted_join
@@ -51,13 +54,22 @@ CASES = {
     "sequences": lambda df: sequences.sliding_sequences(df, ["key"], ORDER, ["v", "id"], "v", 3),
     "quantiles": lambda df: exact_quantiles(df, ["key"], "v", {"a": 0.1, "m": 0.5, "z": 0.97}),
     "split": lambda df: split.random_split(df, "id", "key"),
+    "spacing": lambda df: sequences.median_spacing(df.withColumn("at", F.timestamp_seconds("t").cast("timestamp_ntz")), ["key"], "at", "id"),
+    "asof": lambda df: nearest_asof(
+        df.withColumn("at", F.timestamp_seconds("t").cast("timestamp_ntz")),
+        df.where("id % 3 = 0").withColumn("at", F.timestamp_seconds(F.col("t") + 2).cast("timestamp_ntz")),
+        "at", "id", ["v"], 30, ["key"], drop_incomplete=False,
+    ),
     "sums": lambda df: ordered.running_sums(df, ["key"], [F.col("t").desc(), F.col("id")], {"s": F.col("v")}),
 }
 
 
+@pytest.mark.parametrize("hot", ["hot", None])
 @pytest.mark.parametrize("case", sorted(CASES))
-def test_split_plan_equals_plain_plan(spark, case):
-    df = hot_frame(spark)
+def test_split_plan_equals_plain_plan(spark, case, hot):
+    """Also where the hot key is NULL, and with a key that has no value at all."""
+    df = hot_frame(spark).withColumn("key", F.when(F.col("key") != "hot", F.col("key")).otherwise(F.lit(hot)))
+    df = df.withColumn("v", F.when(F.col("key") == "k1", None).otherwise(F.col("v")))
     plain, split_rows = both(spark, lambda: CASES[case](df))
     assert plain == split_rows
     assert plain
@@ -93,7 +105,8 @@ def test_large_calendar_equals_small_one(spark, monkeypatch):
     )
     entries = spark.sql(
         """select * from values (0, 1, date'2024-01-05', date'2024-01-08', 'a'), (1, 1, date'2024-01-07', date'2024-01-12', 'b'),
-        (2, 1, date'2024-01-30', date'2024-02-01', 'c'), (3, 2, date'2024-01-10', date'2024-01-10', 'd')
+        (2, 1, date'2024-01-30', date'2024-02-01', 'c'), (3, 2, date'2024-01-10', date'2024-01-10', 'd'),
+        (4, 1, date'2024-01-20', date'2024-01-18', 'ends before it starts'), (5, null, date'2024-01-20', date'2024-01-21', 'no group')
         as t(seq, `group`, start, end, name)"""
     )
     assert MAX_ENTRIES > 4
@@ -115,3 +128,16 @@ def test_empty_values(spark, small_groups):
     df = spark.createDataFrame([("a", None), ("a", None)], "g string, v double")
     assert exact_quantiles(df, ["g"], "v", {"m": 0.5}).collect() == []
     assert math.isnan(float("nan"))
+
+
+def test_column_without_values_stays(spark):
+    df = hot_frame(spark).select("v", F.lit(None).cast("double").alias("nothing"))
+    plain, split_rows = both(spark, lambda: robust_summary(df, ["v", "nothing"]))
+    assert plain == split_rows and len(plain) == 2
+
+
+def test_rows_without_a_label_stay(spark):
+    df = hot_frame(spark).withColumn("label", F.when(F.col("id") % 2 == 0, F.col("id") % 3))
+    plain, split_rows = both(spark, lambda: split.random_split(df, "id", "label"))
+    assert plain == split_rows and len(plain) == 120
+    assert with_class_weights(df, "label").where("weight is null").count() == 60
