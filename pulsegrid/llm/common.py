@@ -11,9 +11,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Bytes of text that are hashed at once; bounds the working arrays of a task.
-WINDOW_BYTES = 1 << 20
+WINDOW_BYTES = 1 << 19
 # Bytes of text that an operator's task takes up at once.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def content_key(*cols: Column | str) -> list[Column]:
@@ -53,6 +53,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             end = min(max(end, at + 1), batch.num_rows)
             yield batch.slice(at, end - at)
             at = end
+        # Arrow would keep what it has freed
+        pa.default_memory_pool().release_unused()
 
 
 def mix(h: np.ndarray) -> np.ndarray:

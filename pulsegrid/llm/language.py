@@ -260,11 +260,16 @@ def _row(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
-def entropies(docs: DataFrame, model: LanguageModel, *, text: str = "text") -> DataFrame:
-    """``docs`` without the text, with ``n_grams``, ``has_letter`` and ``entropy``, an array with a value per language."""
+def entropies(docs: DataFrame, model: LanguageModel, *, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """``docs`` with ``n_grams``, ``has_letter`` and ``entropy``, an array with a value per language.
+
+    The text itself is only returned with ``keep_text``, as ``__text`` in front.
+    """
     kept = [c for c in docs.columns if c != text]
+    body = [T.StructField("__text", T.StringType())] if keep_text else []
     schema = T.StructType(
         [
+            *body,
             *[docs.schema[c] for c in kept],
             T.StructField("n_grams", T.LongType()),
             T.StructField("has_letter", T.BooleanType()),
@@ -281,7 +286,7 @@ def entropies(docs: DataFrame, model: LanguageModel, *, text: str = "text") -> D
             h = scorer.entropies(grams, edges)
             offsets = pa.array(np.arange(len(h) + 1) * width, pa.int32())
             yield pa.record_batch(
-                [*batch.columns[1:], pa.array(np.diff(edges)), pa.array(letters), pa.ListArray.from_arrays(offsets, pa.array(h.ravel()))],
+                [*batch.columns[0 if keep_text else 1 :], pa.array(np.diff(edges)), pa.array(letters), pa.ListArray.from_arrays(offsets, pa.array(h.ravel()))],
                 names=schema.names,
             )
 
@@ -320,8 +325,10 @@ def _calibrated(docs: DataFrame, model: LanguageModel, lang: str, text: str) ->
     return model
 
 
-def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text", slack: float = 2.0) -> DataFrame:
-    """``docs`` without the text, with ``lang_pred``, ``score`` and ``rejected``.
+def identify(
+    docs: DataFrame, model: LanguageModel, *, text: str = "text", slack: float = 2.0, keep_text: bool = False
+) -> DataFrame:
+    """``docs`` without the text (``keep_text`` leaves it as ``__text``), with ``lang_pred``, ``score`` and ``rejected``.
 
     The language with the lowest entropy per character, ties to the first by
     name. ``score`` from 0 to 1 is its calibrated share among all languages. A text that
@@ -332,7 +339,7 @@ def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text", slack
     A model that knows no language calls everything ``und`` and rejects only
     texts without a letter.
     """
-    rows = entropies(docs, model, text=text)
+    rows = entropies(docs, model, text=text, keep_text=keep_text)
     if not model.languages:
         und = [F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), (~F.col("has_letter")).alias("rejected")]
         return rows.select(*[f"`{c}`" for c in rows.columns if c not in ("n_grams", "has_letter", "entropy")], *und)
@@ -341,7 +348,7 @@ def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text", slack
     total = _total(model.kappa, least)
     mean, high = (F.element_at(F.lit([float(v) for v in model.usual[:, k]]), at) for k in (0, 1))
     above = (least - mean) * F.sqrt(F.least(F.col("n_grams").cast("double"), F.lit(FULL_LENGTH)))
-    kept = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    kept = [F.col(f"`{c}`") for c in rows.columns if c not in ("n_grams", "has_letter", "entropy")]
     letter = F.col("has_letter")
     foreign = (above > slack * F.greatest(high, F.lit(0.5))) & (least > (mean - model.floor) / 2)
     return rows.select(
@@ -354,6 +361,8 @@ def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text", slack
 
 def of_known_language(docs: DataFrame, model: LanguageModel, *, text: str = "text") -> DataFrame:
     """The rows of ``docs``, unchanged, whose text ``identify`` does not reject."""
-    carried = [F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(docs.columns)]
-    kept = identify(docs.select(*carried, F.col(f"`{text}`").alias("__body")), model, text="__body").where("not rejected")
-    return kept.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    others = [c for c in docs.columns if c != text]
+    carried = [F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(others)]
+    kept = identify(docs.select(F.col(f"`{text}`").alias("__body"), *carried), model, text="__body", keep_text=True)
+    names = {c: f"__c{i}" for i, c in enumerate(others)} | {text: "__text"}
+    return kept.where("not rejected").select(*[F.col(names[c]).alias(c) for c in docs.columns])

@@ -26,6 +26,8 @@ BLOCK_SCHEMA = (
     "shard int, block int, n_docs bigint, n_tokens bigint, width int, min_key bigint, max_key bigint, "
     "keys binary, has_key binary, ends binary, displacements binary, fingerprints binary, places binary, payload binary"
 )
+# Bytes of text behind one block.
+BLOCK_BYTES = 2 << 20
 KEYS_PER_BUCKET = 4
 TRIALS = 32
 STEP = np.uint64(0xD1B54A32D192ED03)
@@ -115,7 +117,7 @@ def write_token_store(
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, schema = TaskContext.get().partitionId(), None
-        for number, batch in enumerate(slices(batches, "__text")):
+        for number, batch in enumerate(slices(batches, "__text", BLOCK_BYTES)):
             enc = encoder(tokenizer)
             ids, bounds = with_end(*enc.encode(batch.column(1)), end_id)
             width = 2 if max(enc.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4

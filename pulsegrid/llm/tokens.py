@@ -17,7 +17,7 @@ import pyarrow as pa
 from pulsegrid.llm.common import hash_words, ranges, text_buffer
 
 # A worker starts its memory of chunks anew beyond this number.
-MAX_CHUNKS = 4_000_000
+MAX_CHUNKS = 2_000_000
 
 _ALNUM = np.zeros(256, bool)
 _ALNUM[0x30:0x3A] = _ALNUM[0x41:0x5B] = _ALNUM[0x61:0x7B] = True
@@ -53,8 +53,8 @@ class Encoder:
         self.bits = 20
         self.table = np.full(1 << self.bits, -1, np.int32)
         self.keys = np.empty(0, np.uint64)
-        self.starts = np.empty(0, np.int64)
-        self.lengths = np.empty(0, np.int64)
+        self.starts = np.empty(0, np.int32)
+        self.lengths = np.empty(0, np.int32)
         self.pool = np.empty(0, np.uint32)
 
     def _find(self, h: np.ndarray) -> np.ndarray:
@@ -94,8 +94,8 @@ class Encoder:
         begin = len(self.pool) + np.concatenate(([0], np.cumsum(lengths)[:-1]))
         old = len(self.keys)
         self.keys = np.concatenate((self.keys, h))
-        self.starts = np.concatenate((self.starts, begin.astype(np.int64)))
-        self.lengths = np.concatenate((self.lengths, lengths))
+        self.starts = np.concatenate((self.starts, begin.astype(np.int32)))
+        self.lengths = np.concatenate((self.lengths, lengths.astype(np.int32)))
         self.pool = np.concatenate((self.pool, ids))
         if len(self.keys) * 2 > len(self.table):
             while len(self.keys) * 2 > (1 << self.bits):
@@ -120,7 +120,7 @@ class Encoder:
             entry[missing] = self._find(h[missing])
         lengths = self.lengths[entry]
         ids = self.pool[ranges(self.starts[entry], lengths)]
-        ends = np.concatenate(([0], np.cumsum(lengths)))
+        ends = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
         return ids, ends[np.searchsorted(start, offsets)]
 
 
