@@ -83,7 +83,7 @@ def m20(spark, d):
 @query("m21_linear_margin")
 def m21(spark, d):
     data = training(spark, d)
-    return _scored(classify.fit_linear_margin(_train(data), "label", 3, maxIter=20), data)
+    return _scored(classify.fit_linear_margin(_train(data), "label", 3), data)
 
 
 @query("m22_naive_bayes")
@@ -120,7 +120,7 @@ def m29(spark, d):
 @query("m31_boosted_regression")
 def m31(spark, d):
     data = training(spark, d).withColumn("target", F.col("target") / 1000)
-    _, score = classify.fit_boosted_regression(_train(data), "target", maxIter=20, maxDepth=4)
+    _, score = classify.fit_boosted_regression(_train(data), "target")
     return classify.regression_report(score(data), "target")
 
 
@@ -167,7 +167,7 @@ def m07(spark, d):
 
 @query("m08_k_sweep")
 def m08(spark, d):
-    return cluster.sweep_k(profiles(spark, d), range(2, 11))
+    return cluster.sweep_k(profiles(spark, d), range(2, 11), starts=20)
 
 
 def _responses(spark, d):
@@ -212,13 +212,17 @@ def m11_group(spark, d):
     return dbscan.dbscan(z, "row_id", ["h_z", "value_z"], 0.15, 5, by=["event_type"]).select("row_id", "event_type", "cluster")
 
 
-def vectors(spark, d, dims: int = 16):
+DIMENSIONS = 64
+
+
+def vectors(spark, d):
+    """All coordinates of the embeddings as columns."""
     v = table(spark, d, "embeddings")
-    cols = [f"x{i}" for i in range(dims)]
+    cols = [f"x{i}" for i in range(DIMENSIONS)]
     return v.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(cols)]), cols
 
 
-_PAIRS = """v AS (SELECT vec_id, CAST(embedding[1:16] AS DOUBLE[]) AS x FROM embeddings), p AS (SELECT a.vec_id AS q, b.vec_id
+_PAIRS = """v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), p AS (SELECT a.vec_id AS q, b.vec_id
     AS v, list_distance(a.x, b.x) AS dist FROM v a JOIN v b ON a.vec_id <> b.vec_id)"""
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
@@ -15,6 +16,7 @@ from pulsegrid.plans.ordered import windowed
 
 
 MAX_CLUSTERS = 10_000
+STARTS_AT_ONCE = 4
 
 
 def best_kmeans(df: DataFrame, k: int, starts: int = 20, seed: int = 42):
@@ -22,20 +24,32 @@ def best_kmeans(df: DataFrame, k: int, starts: int = 20, seed: int = 42):
     are kept between the runs; a lost block is computed again."""
     vectors = df.select(VECTOR).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        models = [KMeans(k=k, seed=seed + i, featuresCol=VECTOR, predictionCol="cluster").fit(vectors) for i in range(starts)]
-        return min(models, key=lambda m: m.summary.trainingCost)
+        return _best_of(vectors, k, starts, seed)
     finally:
         vectors.unpersist()
 
 
-def sweep_k(df: DataFrame, ks: Sequence[int] = range(2, 11), starts: int = 1, seed: int = 42) -> DataFrame:
-    """Inertia and silhouette (squared Euclidean) for each k."""
+def _best_of(vectors: DataFrame, k: int, starts: int, seed: int):
+    """Starts are independent of each other, so a few are fitted at once; ties go to the first."""
+
+    def fit(i: int):
+        return KMeans(k=k, seed=seed + i, featuresCol=VECTOR, predictionCol="cluster").fit(vectors)
+
+    with ThreadPoolExecutor(STARTS_AT_ONCE) as pool:
+        return min(pool.map(fit, range(starts)), key=lambda m: m.summary.trainingCost)
+
+
+def sweep_k(df: DataFrame, ks: Sequence[int] = range(2, 11), starts: int = 20, seed: int = 42) -> DataFrame:
+    """Inertia and silhouette (squared Euclidean) for each k; the vectors are kept for all of them."""
     evaluator = ClusteringEvaluator(featuresCol=VECTOR, predictionCol="cluster")
+    vectors = df.select(VECTOR).persist(StorageLevel.MEMORY_AND_DISK)
     rows = []
-    for k in ks:
-        model = best_kmeans(df, k, starts, seed)
-        silhouette = evaluator.evaluate(model.transform(df))
-        rows.append((k, float(model.summary.trainingCost), float(silhouette)))
+    try:
+        for k in ks:
+            model = _best_of(vectors, k, starts, seed)
+            rows.append((k, float(model.summary.trainingCost), float(evaluator.evaluate(model.transform(vectors)))))
+    finally:
+        vectors.unpersist()
     return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
 
 
