@@ -58,7 +58,17 @@ TRAIN = f"""{WIDE}, k AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) <=
     FROM wide)"""
 
 
-@query("m01_random_split")
+def _random_sql(kind: str, partition: str, train: float, val: float) -> str:
+    return f"""SELECT o_orderkey, o_orderstatus, CASE WHEN k <= floor(n * {train}::DOUBLE) THEN 'train' WHEN k <=
+    floor(n * {train}::DOUBLE) + floor(n * {val}::DOUBLE) THEN 'val' ELSE 'test' END AS split, '{kind}' AS kind FROM (SELECT
+    o_orderkey, o_orderstatus, count(*) OVER ({partition}) AS n, row_number() OVER ({partition} ORDER BY
+    md5('42:' || CAST(o_orderkey AS VARCHAR)), o_orderkey) AS k FROM orders)"""
+
+
+@query(
+    "m01_random_split",
+    _random_sql("stratified", "PARTITION BY o_orderstatus", 0.70, 0.15) + " UNION ALL " + _random_sql("plain", "", 0.8, 0.0),
+)
 def m01(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
     stratified = split.random_split(o, "o_orderkey", "o_orderstatus")

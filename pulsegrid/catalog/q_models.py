@@ -178,10 +178,11 @@ def _responses(spark, d):
     return li
 
 
-def _dbscan_sql(rows: str, eps: float, min_samples: int) -> str:
+def _dbscan_sql(rows: str, eps: float, min_samples: int, features: str = "ab") -> str:
     """Neighbour counts, core links and components by smallest reachable id, from all close pairs."""
+    square = " + ".join(f"(a.{c} - b.{c}) ** 2" for c in features)
     return f"""WITH RECURSIVE z AS ({rows}), pair AS MATERIALIZED (SELECT a.row_id AS p, b.row_id AS q FROM z a JOIN z b ON
-    a.g = b.g AND b.a BETWEEN a.a - {eps} AND a.a + {eps} AND (a.a - b.a) ** 2 + (a.b - b.b) ** 2 <= {eps}::DOUBLE ** 2),
+    a.g = b.g AND b.a BETWEEN a.a - {eps} AND a.a + {eps} AND {square} <= {eps}::DOUBLE ** 2),
     core AS MATERIALIZED (SELECT p AS id FROM pair GROUP BY p HAVING count(*) >= {min_samples}),
     link AS MATERIALIZED (SELECT p, q FROM pair WHERE p <> q AND p IN (SELECT id FROM core) AND q IN (SELECT id FROM core)),
     cc(id, comp) USING KEY (id) AS (SELECT id, id FROM core UNION (SELECT u.id, min(v.comp) FROM recurring.cc u JOIN link ON
@@ -205,6 +206,21 @@ def m11(spark, d):
     return dbscan.dbscan(z, "row_id", ["a_z", "b_z"], 0.2, 5).select("row_id", "cluster")
 
 
+_PART = ("count(*)", "avg(l_quantity)", "avg(l_extendedprice)", "avg(l_discount)", "avg(l_tax)", "max(l_quantity)")
+_PARTS = f"""SELECT row_id, 0 AS g, {", ".join(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS {c}" for c in "abcdef")}
+    FROM (SELECT l_partkey AS row_id, {", ".join(f"{e} AS {c}" for e, c in zip(_PART, "abcdef"))} FROM lineitem GROUP BY 1)"""
+
+
+@query("m11_dbscan_six_features", _dbscan_sql(_PARTS, 1.3, 5, "abcdef").format(extra=""))
+def m11_six(spark, d):
+    """Parts by six measures of their lines."""
+    rows = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("row_id")).agg(
+        *[F.expr(e).cast("double").alias(c) for e, c in zip(_PART, "abcdef")]
+    )
+    z = dbscan.zscore_by(rows, [], list("abcdef"))
+    return dbscan.dbscan(z, "row_id", [f"{c}_z" for c in "abcdef"], 1.3, 5).select("row_id", "cluster")
+
+
 @query("m11_dbscan_per_group", _dbscan_sql(_HOURS, 0.15, 5).format(extra="g AS event_type, "))
 def m11_group(spark, d):
     e = table(spark, d, "events").select(F.col("event_id").alias("row_id"), "event_type", F.hour("ts").alias("h"), "value")

@@ -41,9 +41,9 @@ def random_split(
     val: float = 0.15,
     seed: int = 42,
 ) -> DataFrame:
-    """Adds ``split`` at random with exact sizes, per class of ``stratify`` if given; rows without a class are a class of their own."""
+    """Adds ``split`` at random (in the order of a hash of seed and id) with exact sizes, per class of ``stratify`` if given; rows without a class are a class of their own."""
     keys = [stratify] if stratify else []
-    shuffled = df.withColumn("__h", F.xxhash64(F.lit(seed), F.col(row_id)))
+    shuffled = df.withColumn("__h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(row_id).cast("string"))))
     ranked = position(shuffled, keys, [F.col("__h"), F.col(row_id)], "__rank")
     if stratify:
         sizes = df.groupBy(stratify).agg(F.count("*").alias("__n"))

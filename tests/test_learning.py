@@ -219,3 +219,21 @@ def test_models_and_scratch(spark, tmp_path, labelled):
     assert os.path.isdir(folder)
     session.clear_scratch(spark)
     assert not os.path.exists(folder)
+
+
+def test_dbscan_group_named_like_internals_and_null_groups(spark):
+    """A NULL group is clustered like any other, and the caller's names do not meet internal ones."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for g, name in enumerate(["p", None, "q"]):
+        for k in range(30):
+            centre = 10.0 * (k % 2)
+            rows.append((100 * g + k, name, *(float(v) for v in centre + rng.normal(scale=0.05, size=6))))
+        rows.append((100 * g + 99, name, *[50.0] * 6))
+    rows.append((999, None, None, *[1.0] * 5))
+    names = ["x", "m", "uid", "number", "cell", "near"]
+    df = spark.createDataFrame(rows, "id int, `rows` string, " + ", ".join(f"{n} double" for n in names))
+    from pulsegrid.ml.dbscan import dbscan
+
+    got = {r["id"]: r["cluster"] for r in dbscan(df, "id", names, 1.0, 5, by=["rows"]).collect()}
+    assert got == {r[0]: -1 if r[0] % 100 == 99 else r[0] % 100 % 2 for r in rows}
