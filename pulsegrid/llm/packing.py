@@ -226,4 +226,5 @@ def pack_documents(
     See ``token_pieces`` for nulls, empty and very long texts and repeated rows.
     """
     pieces = token_pieces(docs, tokenizer=tokenizer, capacity=capacity, end_id=end_id, doc_id=doc_id, text=text)
-    return best_fit_pack(pieces, capacity=capacity)
+    # written first: two Python steps in one task would keep twice as many workers in memory
+    return best_fit_pack(freeze(pieces), capacity=capacity)
