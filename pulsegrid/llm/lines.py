@@ -84,25 +84,30 @@ def _print(p: Column, around: int) -> Column:
     return F.struct(gram["h"].alias("gram"), gram["k"].alias("k"), p.alias("p"), near(before).alias("left"), near(behind).alias("right"))
 
 
-def _agreeing(left: Column, right: Column) -> Column:
-    """How many leading values two arrays share."""
-    same = F.zip_with(left, right, lambda a, b: a.eqNullSafe(b))
-    at = F.array_position(same, False).cast("int")
-    return F.when(at == 0, F.size(same)).otherwise(at - 1)
+def _parts() -> Column:
+    """What a place may lose: its run, and each line around it under the hash of all lines between it and the run."""
+    p, end = F.col("__at.p"), F.col("__at.p") + F.col("__k")
+    part = lambda pre, first, last: F.struct(pre.alias("pre"), first.alias("first"), last.alias("last"))
+    left = F.transform("__left", lambda _, i: part(F.xxhash64(F.lit(1), F.slice("__left", 1, i + 1)), p - i - 1, p - i - 1))
+    right = F.transform("__right", lambda _, i: part(F.xxhash64(F.lit(2), F.slice("__right", 1, i + 1)), end + i, end + i))
+    return F.concat(F.array(part(F.lit(0).cast("bigint"), p, end - 1)), left, right)
 
 
 def repeated_runs(
     docs: DataFrame, *, noise_words: int = 25, guaranteed_words: int = 50, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """``__k1, __k2, first, last``: later occurrences of runs of lines, counted in lines that are not blank.
+    """``__k1, __k2, first, last``: later occurrences of runs of lines, counted in lines that are not blank, in parts.
 
     ``content_key`` of id and text names the document. A run is hashed from each
     line on, as long as it takes to reach ``noise_words`` words (parts between
     spaces). Of the runs that begin within such a run the one with the least hash
     is a fingerprint, so two documents that share lines of twice ``noise_words``,
-    ``guaranteed_words``, share a fingerprint as well. Each later occurrence is laid beside
-    the first one in the order of ids (nulls last), and extended both ways as long
-    as the lines are equal. Runs below ``noise_words`` are never reported.
+    ``guaranteed_words``, share a fingerprint as well. Each occurrence is laid beside
+    all earlier ones in the order of ids (nulls last), and extended both ways as long
+    as the lines are equal to those of any of them. No pairs are made for that: the
+    earliest place of each run with the next 1, 2, ... lines on one side is enough,
+    and what has an earlier one with more lines has one with fewer. A part is the
+    run itself or one line of an extension. Runs below ``noise_words`` are never reported.
 
     An extension takes in the lines that just reach ``guaranteed_words`` words on
     either side: what lies beyond has a fingerprint of its own.
@@ -127,19 +132,20 @@ def repeated_runs(
             F.col("__print.left").alias("__left"), F.col("__print.right").alias("__right"),
         )
     )
-    first = (
-        prints.groupBy("__gram")
-        .agg(F.min(F.struct("__at", "__left", "__right")).alias("__first"), F.count("*").alias("__n"))
+    several = prints.groupBy("__gram").agg(F.count("*").alias("__n")).where("__n > 1").select("__gram")
+    # written, so that common runs are dealt by their surroundings as well
+    repeated = freeze(prints.join(several, "__gram", "left_semi"))
+    parts = repeated.select("__gram", "__at", F.explode(_parts()).alias("__part"))
+    keys = [F.col("__gram"), F.col("__part.pre").alias("__pre")]
+    earliest = (
+        parts.groupBy(*keys)
+        .agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
         .where("__n > 1")
+        .select("__gram", "__pre", *[F.col(f"__first.{c}").alias(f"__{c}") for c in ("k1", "k2", "p")])
     )
-    later = prints.join(first, "__gram").where(F.col("__at") != F.col("__first.__at"))
-    place = F.col("__at.p")
-    return later.select(
-        F.col("__at.k1").alias("__k1"),
-        F.col("__at.k2").alias("__k2"),
-        (place - _agreeing(F.col("__left"), F.col("__first.__left"))).alias("first"),
-        (place + F.col("__k") - 1 + _agreeing(F.col("__right"), F.col("__first.__right"))).alias("last"),
-    )
+    own = parts.select(*keys, *[F.col(f"__at.{c}").alias(c) for c in ("k1", "k2", "p")], "__part.first", "__part.last")
+    later = own.join(earliest, ["__gram", "__pre"]).where("k1 != __k1 or k2 != __k2 or p != __p")
+    return later.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), "first", "last")
 
 
 def without_repeated_runs(

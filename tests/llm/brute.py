@@ -76,6 +76,47 @@ def line_dedup(docs, noise=25, reach=50):
     return out
 
 
+def line_dedup_pairs(docs, noise=25, reach=50):
+    """Like ``line_dedup``, but each place is laid beside every earlier place of its run, not beside the first alone."""
+    blank = " \t\r\f\x0b"
+    rows, prints = {}, []
+    for i in sorted(docs):
+        lines = (docs[i] or "").split("\n")
+        numbered = [(no, x.strip(blank)) for no, x in enumerate(lines) if x.strip(blank)]
+        h, w = [_hash_text(x) for _, x in numbered], [x.count(" ") + 1 for _, x in numbered]
+        runs = []
+        for a in range(len(h)):
+            total, value, k = 0, 0, 0
+            while total < noise and a + k < len(h):
+                total, value, k = total + w[a + k], _hash_longs(value, h[a + k]), k + 1
+            runs.append((value, k, total >= noise))
+        chosen = set()
+        for a, (_, k, ok) in enumerate(runs):
+            window = runs[a : a + k]
+            if ok and all(g[2] for g in window):
+                chosen.add(-min((g[0], -(a + j)) for j, g in enumerate(window))[1])
+        rows[i] = (lines, numbered, h, w)
+        prints += [(i, p, runs[p]) for p in sorted(chosen)]
+    gone = {i: set() for i in docs}
+    for n, (i, p, (value, k, _)) in enumerate(prints):
+        _, _, h, w = rows[i]
+        for j, q, (other, _, _) in prints[:n]:
+            if other != value:
+                continue
+            g = rows[j][2]
+            gone[i] |= set(range(p, p + k))
+            for step, at, to in ((-1, p - 1, q - 1), (1, p + k, q + k)):
+                total = 0
+                while total < reach and 0 <= at < len(h) and 0 <= to < len(g) and h[at] == g[to]:
+                    gone[i].add(at)
+                    total, at, to = total + w[at], at + step, to + step
+    out = {}
+    for i, (lines, numbered, _, _) in rows.items():
+        drop = {numbered[p][0] for p in gone[i]}
+        out[i] = ("\n".join(x for no, x in enumerate(lines) if no not in drop) if drop else docs[i], len(drop))
+    return out
+
+
 def grams(text, n=5):
     w = words(text)
     return frozenset(tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))) if w else frozenset()

@@ -70,6 +70,26 @@ def test_line_dedup_guarantee(spark):
         assert got[i] == [docs[i].split("\n")[0], docs[i].split("\n")[-1]]
 
 
+def test_line_dedup_compares_all_earlier_places(spark):
+    """The earliest place of a run need not be the one whose surroundings are repeated."""
+    draw = random.Random(23)
+    same, tail = sentence(draw, 31), sentence(draw, 20)
+    source = "\n".join([sentence(draw, 11), same, same, same, same, tail])
+    short = [sentence(draw, 7) for _ in range(9)]
+    docs = {1: source, 2: sentence(draw, 12) + "\n" + source.split("\n", 1)[1]}
+    # each run of 25 words or more of the passage also stands alone in an earlier document
+    docs |= {10 + k: "\n".join([sentence(draw, 30), *short[k : k + 4], sentence(draw, 30)]) for k in range(6)}
+    docs |= {i: "\n".join([sentence(draw, 30), *short, sentence(draw, 30)]) for i in (30, 31)}
+    pool = [sentence(draw, draw.choice([3, 8, 20, 30])) for _ in range(9)]
+    for i in range(40, 80):
+        docs[i] = "\n".join(pool[draw.randrange(9)] for _ in range(draw.randrange(1, 12)))
+    got = {r["doc_id"]: (r["text"], r["lines_removed"]) for r in lines.without_repeated_runs(make(spark, docs.items())).collect()}
+    assert got == brute.line_dedup_pairs(docs)
+    assert got[2] == (docs[2].split("\n")[0], 5)
+    assert got[31] == ("\n".join([docs[31].split("\n")[0], docs[31].split("\n")[-1]]), 9)
+    assert brute.line_dedup(docs) != got
+
+
 def test_line_dedup_odd_input(odd, none):
     got = lines.without_repeated_runs(odd)
     assert got.columns == [*odd.columns, "lines_removed"] and got.count() == odd.count()
