@@ -78,39 +78,48 @@ def ngram_keys(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return grams[own], edges, letters > 0
 
 
+def _half(text: Column) -> Column:
+    """0 or 1 by the text, so that equal texts are never on both sides of a calibration."""
+    return F.pmod(F.xxhash64(text.cast("string")), F.lit(2)).cast("int")
+
+
 def count_ngrams(docs: DataFrame, *, lang: str = "lang", text: str = "text") -> DataFrame:
-    """``lang, gram, n``: counts of the 4-grams of all texts with a language, over the whole input."""
+    """``lang, half, gram, n``: counts of the 4-grams of all texts with a language, over the whole input, by ``_half``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        held: dict[tuple[str, int], list[tuple[np.ndarray, np.ndarray]]] = {}
 
         def fold(parts):
             keys, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
             return keys, np.bincount(inverse, np.concatenate([n for _, n in parts])).astype(np.int64)
 
         for batch in slices(batches, "text"):
-            grams, edges, _ = ngram_keys(batch.column(1))
+            grams, edges, _ = ngram_keys(batch.column(2))
             names, which = np.unique(batch.column(0).to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
-            of = np.repeat(which, np.diff(edges))
-            for k, name in enumerate(names):
-                own = held.setdefault(str(name), [])
+            of = np.repeat(2 * which + batch.column(1).to_numpy(), np.diff(edges))
+            for k in np.unique(of).tolist():
+                name = str(names[k // 2]), k % 2
+                own = held.setdefault(name, [])
                 own.append(np.unique(grams[of == k], return_counts=True))
                 if len(own) > 8:
-                    held[str(name)] = [fold(own)]
-        for name, parts in held.items():
+                    held[name] = [fold(own)]
+        for (name, half), parts in held.items():
             keys, n = fold(parts)
             for a in range(0, len(keys), 100_000):
                 part = slice(a, a + 100_000)
                 yield pa.record_batch(
-                    [pa.array([name] * len(keys[part])), pa.array(keys[part].view(np.int64)), pa.array(n[part])],
-                    names=["lang", "gram", "n"],
+                    [
+                        pa.array([name] * len(keys[part])), pa.array([half] * len(keys[part]), pa.int32()),
+                        pa.array(keys[part].view(np.int64)), pa.array(n[part]),
+                    ],
+                    names=["lang", "half", "gram", "n"],
                 )
 
     rows = docs.where(F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull()).select(
-        F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("text")
+        F.col(f"`{lang}`").cast("string").alias("lang"), _half(F.col(f"`{text}`")).alias("half"), F.col(f"`{text}`").cast("string").alias("text")
     )
-    counted = rows.mapInArrow(count, "lang string, gram bigint, n bigint")
-    return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = rows.mapInArrow(count, "lang string, half int, gram bigint, n bigint")
+    return counted.groupBy("lang", "half", "gram").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -187,8 +196,17 @@ def fit(docs: DataFrame, *, lang: str = "lang", text: str = "text") -> LanguageM
     probability in all of them, so the usual step of scoring is one look-up.
     Without such documents the model knows no language and predicts ``und``.
     """
-    alphas, backs, languages, floor = _tables(count_ngrams(docs, lang=lang, text=text))
-    spark = docs.sparkSession
+    counts = freeze(count_ngrams(docs, lang=lang, text=text))
+    model = _smoothed(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    if not model.languages:
+        return model
+    return _calibrated(docs, model, [_smoothed(counts.where(F.col("half") != h).drop("half")) for h in (0, 1)], lang, text)
+
+
+def _smoothed(counts: DataFrame) -> LanguageModel:
+    """The model of ``lang, gram, n`` before it is calibrated."""
+    alphas, backs, languages, floor = _tables(counts)
+    spark = counts.sparkSession
     if not languages:
         return LanguageModel([], [], [], [], [], floor)
     names = F.broadcast(spark.createDataFrame([(n,) for n in languages], "lang string"))
@@ -213,7 +231,7 @@ def fit(docs: DataFrame, *, lang: str = "lang", text: str = "text") -> LanguageM
             keys, matrix = _matrix(values, "gram", "value", languages)
             (slots, contexts)[out].append(keys)
             (logp, backoff)[out].append(matrix)
-    return _calibrated(docs, LanguageModel(languages, slots, logp, contexts, backoff, floor), lang, text)
+    return LanguageModel(languages, slots, logp, contexts, backoff, floor)
 
 
 class _Scorer:
@@ -298,30 +316,46 @@ def _total(kappa: float, least: Column) -> Column:
     return F.aggregate("entropy", F.lit(0.0), lambda s, x: s + F.exp(-kappa * (x - least)))
 
 
-def _calibrated(docs: DataFrame, model: LanguageModel, lang: str, text: str) -> LanguageModel:
+def _calibrated(docs: DataFrame, model: LanguageModel, others: list[LanguageModel], lang: str, text: str) -> LanguageModel:
     """Sets the sharpness of the score and, per language, the entropy that is usual.
 
-    Both come from all documents the model was fitted on: the sharpness with the
-    least log loss of the true language, and the mean entropy of the true
-    language with the 99.9 % quantile of how far a text, by its length, lies above.
+    Both come from all documents with a language, each rated by the model of the
+    half it is not in (``others``), so that no text is taken as usual for having
+    been counted: the sharpness with the least log loss of the true language, and
+    the mean entropy of the true language with the 99.9 % quantile of how far a
+    text, by its length, lies above. How far texts of an unknown language lie above
+    is told by texts whose own language is left out: the least 5 % quantile that
+    any of the other languages shows where this one is the nearest of the rest.
+    A language with texts in one half only has nothing held out; no limit is known for it.
     """
     known = docs.where(F.col(f"`{lang}`").isNotNull()).select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text"))
-    scored = freeze(entropies(known, model).where("has_letter"))
-    true = F.element_at("entropy", F.array_position(F.lit(model.languages), F.col("lang")).cast("int"))
-    least = F.array_min("entropy")
-    losses = []
-    for k in KAPPAS:
-        total = _total(k, least)
-        losses.append(F.avg(F.ln(total) + k * (true - least)).alias(str(k)))
-    loss = scored.agg(*losses).first()
-    best = min(KAPPAS, key=lambda k: loss[str(k)] if loss[str(k)] is not None else np.inf)
-    means = scored.groupBy("lang").agg(F.avg(true).alias("mean"))
-    above = (true - F.col("mean")) * F.sqrt(F.least(F.col("n_grams").cast("double"), F.lit(FULL_LENGTH)))
-    limits = scored.join(F.broadcast(means), "lang").groupBy("lang").agg(F.max("mean").alias("mean"), F.percentile_approx(above, 0.999, 10000).alias("high"))
-    usual = np.full((len(model.languages), 2), np.inf)
-    for row in limits.collect():
-        usual[model.languages.index(row["lang"])] = row["mean"], row["high"]
-    model.kappa, model.usual = best, usual
+    rated = []
+    for half, other in enumerate(others):
+        if not other.languages:
+            continue
+        own = known.where((_half(F.col("text")) == half) & F.col("lang").isin(other.languages))
+        at = F.array_position(F.lit(other.languages), F.col("lang")).cast("int")
+        true = F.element_at("entropy", at)
+        least = F.array_min("entropy")
+        rest = F.array_min(F.filter("entropy", lambda x, i: i != at - 1))
+        nearest = F.element_at(F.lit(other.languages), F.array_position(F.transform("entropy", lambda x, i: F.when(i != at - 1, x)), rest).cast("int"))
+        losses = [(F.ln(_total(k, least)) + k * (true - least)).alias(f"k{i}") for i, k in enumerate(KAPPAS)]
+        rated.append(entropies(own, other).where("has_letter").select("lang", "n_grams", true.alias("true"), rest.alias("rest"), nearest.alias("nearest"), *losses))
+    usual = np.full((len(model.languages), 3), np.inf)
+    if rated:
+        scored = freeze(rated[0] if len(rated) == 1 else rated[0].unionAll(rated[1]))
+        loss = scored.agg(*[F.avg(f"k{i}").alias(f"k{i}") for i in range(len(KAPPAS))]).first()
+        model.kappa = min(zip(KAPPAS, loss), key=lambda x: x[1] if x[1] is not None else np.inf)[0]
+        means = scored.groupBy("lang").agg(F.avg("true").alias("mean"))
+        above = lambda h: (F.col(h) - F.col("mean")) * F.sqrt(F.least(F.col("n_grams").cast("double"), F.lit(FULL_LENGTH)))
+        limits = scored.join(F.broadcast(means), "lang").groupBy("lang").agg(F.max("mean").alias("mean"), F.percentile_approx(above("true"), 0.999, 10000).alias("high"))
+        for row in limits.collect():
+            usual[model.languages.index(row["lang"]), :2] = row["mean"], row["high"]
+        beside = scored.join(F.broadcast(means.withColumnRenamed("lang", "nearest")), "nearest")
+        low = beside.groupBy("nearest", "lang").agg(F.percentile_approx(above("rest"), 0.05, 10000).alias("low"))
+        for row in low.groupBy("nearest").agg(F.min("low").alias("low")).collect():
+            usual[model.languages.index(row["nearest"]), 2] = row["low"]
+    model.usual = usual
     return model
 
 
@@ -333,9 +367,10 @@ def identify(
     The language with the lowest entropy per character, ties to the first by
     name. ``score`` from 0 to 1 is its calibrated share among all languages. A text that
     is null or has no letter is ``und`` with score 0. ``rejected`` holds for those
-    and for texts in no known language: their entropy lies more than ``slack``
-    times as far above the language's mean as 99.9 % of its own texts of that
-    length do, and nearer to that of a model without any knowledge than to the mean.
+    and for texts in no known language: their entropy lies farther above the
+    language's mean than 99.9 % of its own texts of that length do when the model
+    has not counted them, by half of what lies between those and texts of other
+    languages, and at most ``slack`` times as far.
     A model that knows no language calls everything ``und`` and rejects only
     texts without a letter.
     """
@@ -346,11 +381,13 @@ def identify(
     least = F.array_min("entropy")
     at = F.array_position("entropy", least).cast("int")
     total = _total(model.kappa, least)
-    mean, high = (F.element_at(F.lit([float(v) for v in model.usual[:, k]]), at) for k in (0, 1))
+    own = model.usual[:, 1]
+    limit = np.minimum(slack * np.maximum(own, 0.5), np.maximum(own, (own + model.usual[:, 2]) / 2))
+    mean, high = (F.element_at(F.lit([float(v) for v in values]), at) for values in (model.usual[:, 0], limit))
     above = (least - mean) * F.sqrt(F.least(F.col("n_grams").cast("double"), F.lit(FULL_LENGTH)))
     kept = [F.col(f"`{c}`") for c in rows.columns if c not in ("n_grams", "has_letter", "entropy")]
     letter = F.col("has_letter")
-    foreign = (above > slack * F.greatest(high, F.lit(0.5))) & (least > (mean - model.floor) / 2)
+    foreign = above > high
     return rows.select(
         *kept,
         F.when(letter, F.element_at(F.lit(model.languages), at)).otherwise("und").alias("lang_pred"),

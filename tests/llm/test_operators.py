@@ -179,6 +179,21 @@ def test_language_rejects_what_no_model_knows(spark):
     assert got[1] == ("aa", False) and got[2] == ("bb", False) and got[3][1]
 
 
+def test_language_rejection_does_not_hang_on_the_alphabet(spark):
+    """A few texts with thousands of letters in the corpus do not make room for unknown languages."""
+    draw = random.Random(24)
+    lexicon = lambda: ["".join(draw.choice("abcdefgh") for _ in range(5)) for _ in range(40)]
+    words = {"aa": lexicon(), "bb": lexicon()}
+    text = lambda name: " ".join(draw.choice(words[name]) for _ in range(80))
+    han = lambda: "".join(chr(draw.randrange(0x4E00, 0x4E00 + 5000)) for _ in range(2000))
+    rows = [(text("aa"), "aa") for _ in range(40)] + [(text("bb"), "bb") for _ in range(40)] + [(han(), "zz") for _ in range(6)]
+    model = language.fit(spark.createDataFrame(rows, "text string, lang string"))
+    known = [(k, text(name)) for k, name in enumerate(["aa", "bb"] * 15)]
+    strange = [(100 + k, " ".join("".join(draw.choice("abcdefgh") for _ in range(5)) for _ in range(80))) for k in range(10)]
+    got = language.identify(spark.createDataFrame(known + strange, "doc_id int, text string"), model).collect()
+    assert {r["doc_id"] for r in got if r["rejected"]} == {i for i, _ in strange}
+
+
 # 4: licences
 
 
