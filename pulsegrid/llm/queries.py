@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import decontaminate, exact, jaccard, language, licences, lines, packing, token_store, toxicity, urls
+from pulsegrid.llm import bpe_automaton, decontaminate, exact, hard_negatives, jaccard, language, licences, lines, merkle, packing
+from pulsegrid.llm import token_store, toxicity, urls
 from pulsegrid.llm.common import spark_crc32
 from pulsegrid.session import scratch_path
 
@@ -203,3 +204,111 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return licences.scan(docs, licences.fit(docs))
+
+
+_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def _leaf_sql(shift: int = 0) -> str:
+    parts = []
+    for c in _FIELDS:
+        value = f"CAST({c} + {shift} AS VARCHAR)" if shift and c == "n_chars" else f"CAST({c} AS VARCHAR)"
+        parts.append(f"coalesce(CAST(strlen({value}) AS VARCHAR) || ':' || {value}, '-')")
+    return f"sha256({' || '.join(parts)})"
+
+
+# CRC-32 bit by bit, over the ASCII characters of a string.
+_BYTE = "CASE WHEN i % 8 = 0 THEN xor(c, CAST(ascii(substr(s, CAST(i // 8 AS BIGINT) + 1, 1)) AS BIGINT)) ELSE c END"
+_CRC = f"list_reduce(range(0, 8 * length(s)), lambda c, i: xor({_BYTE} >> 1, 3988292384 * (({_BYTE}) & 1)), CAST(4294967295 AS BIGINT))"
+
+# Level by level: a tree whose level has one node stops. `fold` hashes an item up its path.
+OP11_SQL = f"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT doc_id, lang, {_leaf_sql()} AS leaf,
+    CASE WHEN n_chars IS NOT NULL AND xor({_CRC}, 4294967295) % 7 = 0 THEN {_leaf_sql(1)} ELSE {_leaf_sql()} END AS altered
+  FROM (SELECT *, CAST(doc_id AS VARCHAR) AS s FROM documents)),
+ranked AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, coalesce(':' || lang, '-') AS t FROM d),
+level(t, k, i, h, m) AS (
+  SELECT t, 0, i, leaf, count(*) OVER (PARTITION BY t) FROM ranked
+  UNION ALL
+  SELECT t, k + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), any_value((m + 1) // 2) FROM level WHERE m > 1 GROUP BY t, k, i // 2),
+nodes AS MATERIALIZED (SELECT * FROM level),
+tops AS MATERIALIZED (SELECT t AS tree, h AS subroot, row_number() OVER (ORDER BY t) - 1 AS i FROM nodes WHERE m = 1),
+above(k, i, h, m) AS (
+  SELECT 0, i, subroot, count(*) OVER () FROM tops
+  UNION ALL
+  SELECT k + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), any_value((m + 1) // 2) FROM above WHERE m > 1 GROUP BY k, i // 2),
+upper AS MATERIALIZED (SELECT * FROM above),
+shifted AS (SELECT t, max(k) AS height FROM nodes GROUP BY t),
+path AS MATERIALIZED (
+  SELECT r.doc_id, r.leaf, r.i AS own, r.t, p.k AS step, (r.i >> p.k) % 2 AS odd, coalesce(s.h, '') AS sibling
+  FROM ranked r JOIN (SELECT DISTINCT t, k FROM nodes WHERE m > 1) p ON p.t = r.t
+  LEFT JOIN nodes s ON s.t = r.t AND s.k = p.k AND s.i = xor(r.i >> p.k, 1)
+  UNION ALL
+  SELECT r.doc_id, r.leaf, r.i, r.t, height + p.k, (o.i >> p.k) % 2, coalesce(s.h, '')
+  FROM ranked r JOIN shifted USING (t) JOIN tops o ON o.tree = r.t JOIN (SELECT DISTINCT k FROM upper WHERE m > 1) p ON true
+  LEFT JOIN upper s ON s.k = p.k AND s.i = xor(o.i >> p.k, 1)),
+proofs AS (SELECT t, own, sha256(string_agg(sibling, '' ORDER BY step)) AS proof_sha256 FROM path GROUP BY t, own),
+fold(t, own, step, h) AS (
+  SELECT t, i, 0, altered FROM ranked
+  UNION ALL
+  SELECT f.t, f.own, f.step + 1, sha256(CASE WHEN odd = 1 THEN sibling || h ELSE h || sibling END)
+  FROM fold f JOIN path p ON p.t = f.t AND p.own = f.own AND p.step = f.step),
+ends AS (SELECT t, own, arg_max(h, step) AS folded_root FROM fold GROUP BY t, own),
+root AS (SELECT h AS root FROM upper WHERE m = 1)
+SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM ranked r JOIN tops ON tree = r.t CROSS JOIN root LEFT JOIN proofs p ON p.t = r.t AND p.own = r.i JOIN ends e ON e.t = r.t AND e.own = r.i
+"""
+
+
+@query("op11_merkle_manifest", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    more = F.when(F.coalesce(spark_crc32("doc_id") % 7 == 0, F.lit(False)), F.try_add("n_chars", F.lit(1))).otherwise(F.col("n_chars"))
+    altered = [more if c == "n_chars" else F.col(c) for c in _FIELDS]
+    leaves = docs.select("doc_id", "lang", merkle.row_digest(*_FIELDS).alias("leaf"), merkle.row_digest(*altered).alias("altered"))
+    found = merkle.manifest(leaves, leaf="leaf", group="lang", order=["doc_id"], fanout=2).proofs
+    folded = found.withColumn("folded_root", merkle.folded("altered")).withColumn("proof_sha256", merkle.proof_digest())
+    return folded.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+OP12_SQL = """
+WITH v AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM (
+    SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) AS k FROM pairs WHERE same) WHERE k <= 5)
+SELECT * FROM (
+  SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank,
+    other_id AS negative_id, positive_score, score AS negative_score
+  FROM positives p JOIN pairs n ON n.anchor_id = p.anchor_id AND NOT same
+    AND 80 * positive_score <= 100 * score AND score <= positive_score) WHERE rank <= 5
+"""
+
+
+@query("op12_hard_negatives", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = vectors.select("vec_id", "embedding", shifted.alias("label"))
+    return hard_negatives.mine(rows, row_id="vec_id", vector="embedding", label="label", anchor=F.col("vec_id") % 100 == 0)
+
+
+@query("op13_bpe_automaton")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = bpe_automaton.encode(docs, tokenizer=public_tokenizers.path("byte_bpe_50k.json"), decoded="decoded")
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(listed.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
