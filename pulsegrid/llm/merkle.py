@@ -3,8 +3,8 @@
 Every node carries the interval ``[lo, hi)`` of the leaf ranks it covers, so a
 node is an ancestor of another one exactly if its interval holds the other's.
 Levels are taken in bands, and within a band nodes lie in buckets of one interval
-each. A bucket has a bounded number of nodes whatever the size of the tree or of
-its largest group. Leaves meet the nodes of their bucket in a join and keep those
+each, which are one row of a table and bounded in number whatever the size of the
+tree or of its largest group. Leaves meet their bucket in a join and keep the nodes
 whose interval holds them; what a parent's interval has beside the child's are the
 siblings. A bucket's top is a leaf of the next band, and proofs are put together
 from the top band down, so no level is joined with all leaves of the tree.
@@ -146,19 +146,17 @@ def _paths(items: DataFrame, bands: list[DataFrame], above: DataFrame, fanout: i
     for number in reversed(range(len(bands))):
         below = items if number == 0 else bands[number - 1].select("t", F.col("bucket").alias("i"), "lo", "hi", F.lit(0).alias("row"))
         below = below.withColumn("bucket", F.floor(F.col("i") / width))
-        nodes = _nodes(bands[number]).select("t", "bucket", "level", F.col("lo").alias("__lo"), F.col("hi").alias("__hi"), "children")
-        # the nodes of a bucket are bounded in number; ancestors are those whose interval holds the item's
-        met = below.join(nodes, ["t", "bucket"], "left")
-        holds = (F.col("__lo") <= F.col("lo")) & (F.col("hi") <= F.col("__hi"))
-        # what the parent's interval has on either side of the part that holds the item
-        beside = lambda side: F.array_join(F.transform(F.filter("children", side), lambda c: c["digest"]), "")
-        step = F.struct(
-            F.col("level"), beside(lambda c: c["hi"] <= F.col("lo")).alias("left"), beside(lambda c: c["lo"] >= F.col("hi")).alias("right")
-        )
-        own = met.groupBy("t", "bucket", "i").agg(
-            F.first("row").alias("row"), F.sort_array(F.collect_list(F.when(holds, step))).alias("own")
-        )
-        full = own.join(upper, ["t", "bucket"]).select("t", "i", "row", F.concat("own", "higher").alias("path"), "above")
+        # a bucket has a bounded number of nodes; ancestors are those whose interval holds the item's, lowest first
+        met = below.join(bands[number].select("t", "bucket", "nodes"), ["t", "bucket"]).join(upper, ["t", "bucket"])
+        ancestors = F.filter("nodes", lambda n: (n["lo"] <= F.col("lo")) & (F.col("hi") <= n["hi"]))
+
+        def step(n: Column) -> Column:
+            # what the parent's interval has on either side of the part that holds the item
+            beside = lambda side: F.array_join(F.transform(F.filter(n["children"], side), lambda c: c["digest"]), "")
+            left, right = beside(lambda c: c["hi"] <= F.col("lo")), beside(lambda c: c["lo"] >= F.col("hi"))
+            return F.struct(n["level"].alias("level"), left.alias("left"), right.alias("right"))
+
+        full = met.select("t", "i", "row", F.concat(F.transform(ancestors, step), "higher").alias("path"), "above")
         upper = full.select("t", F.col("i").alias("bucket"), F.col("path").alias("higher"), "above")
     return full
 
