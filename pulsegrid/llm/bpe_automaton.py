@@ -25,7 +25,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -426,21 +426,19 @@ def encode(docs: DataFrame, *, tokenizer: str, text: str = "text", ids: str = "i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer)
-        for batch in slices(_first_named(batches), "__text"):
+        for batch in slices(batches, "__text"):
             flat, bounds = coder.encode(batch.column(0))
             out = [*batch.columns[1:], pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int32()))]
             if decoded:
                 out.append(spelled(coder.automaton, flat, bounds))
             yield pa.record_batch(out, names=schema.names)
 
-    rows = docs.select(F.col(f"`{text}`").cast("string").alias("__text"), *[F.col(f"`{c}`") for c in kept])
-    return rows.mapInArrow(run, schema)
+    return _numbered(docs, F.col(f"`{text}`").cast("string").alias("__text"), kept).mapInArrow(run, schema)
 
 
-def _first_named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first column under a name that no other column has, so that it is found whatever the others are called."""
-    for batch in batches:
-        yield pa.record_batch(batch.columns, names=["__text", *(f"c{i}" for i in range(1, batch.num_columns))])
+def _numbered(df: DataFrame, first: Column, kept: list[str]) -> DataFrame:
+    """The first column and the kept ones under names of their places, so that it does not matter what they are called."""
+    return df.select(first, *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)])
 
 
 def decode(rows: DataFrame, *, tokenizer: str, ids: str = "ids", text: str = "text") -> DataFrame:
@@ -468,4 +466,4 @@ def decode(rows: DataFrame, *, tokenizer: str, ids: str = "ids", text: str = "te
                 yield pa.record_batch([*part.columns[1:], texts], names=schema.names)
 
     source = F.col(f"`{ids}`").cast("array<bigint>").alias("__ids")
-    return rows.select(source, *[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
+    return _numbered(rows, source, kept).mapInArrow(run, schema)

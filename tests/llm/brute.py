@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
 import string
 import struct
@@ -32,52 +34,7 @@ def _hash_longs(*values):
 
 
 def line_dedup(docs, noise=25, reach=50):
-    """``{id: (text, removed)}`` for ``{id: text}`` with distinct ids; every pair of fingerprints is looked at."""
-    blank = " \t\r\f\x0b"
-    rows, prints = {}, []
-    for i in sorted(docs):
-        lines = (docs[i] or "").split("\n")
-        numbered = [(no, x.strip(blank)) for no, x in enumerate(lines) if x.strip(blank)]
-        h = [_hash_text(x) for _, x in numbered]
-        w = [x.count(" ") + 1 for _, x in numbered]
-        grams = []
-        for a in range(len(h)):
-            total, value, k = 0, 0, 0
-            while total < noise and a + k < len(h):
-                total, value, k = total + w[a + k], _hash_longs(value, h[a + k]), k + 1
-            grams.append((value, k, total >= noise))
-        chosen = set()
-        for a, (_, k, ok) in enumerate(grams):
-            window = grams[a : a + k]
-            if ok and all(g[2] for g in window):
-                chosen.add(min((g[0], -(a + j)) for j, g in enumerate(window))[1] * -1)
-        rows[i] = (lines, numbered, h)
-        prints += [(i, p, grams[p]) for p in sorted(chosen)]
-    gone = {i: set() for i in docs}
-    for i, p, (value, k, _) in prints:
-        j, q, _ = next(x for x in prints if x[2][0] == value)
-        if (i, p) == (j, q):
-            continue
-        h, g = rows[i][2], rows[j][2]
-        w = [x.count(" ") + 1 for _, x in rows[i][1]]
-        left = right = total = 0
-        while total < reach and p - left > 0 and q - left > 0 and h[p - left - 1] == g[q - left - 1]:
-            left += 1
-            total += w[p - left]
-        total = 0
-        while total < reach and p + k + right < len(h) and q + k + right < len(g) and h[p + k + right] == g[q + k + right]:
-            total += w[p + k + right]
-            right += 1
-        gone[i] |= set(range(p - left, p + k + right))
-    out = {}
-    for i, (lines, numbered, _) in rows.items():
-        drop = {numbered[p][0] for p in gone[i]}
-        out[i] = ("\n".join(x for no, x in enumerate(lines) if no not in drop) if drop else docs[i], len(drop))
-    return out
-
-
-def line_dedup_pairs(docs, noise=25, reach=50):
-    """Like ``line_dedup``, but each place is laid beside every earlier place of its run, not beside the first alone."""
+    """``{id: (text, removed)}`` for ``{id: text}`` with distinct ids; each place is laid beside every earlier place of its run."""
     blank = " \t\r\f\x0b"
     rows, prints = {}, []
     for i in sorted(docs):
@@ -217,3 +174,57 @@ def first_fit_decreasing(counts, capacity):
                 k = len(room) - 1
             room[k] -= length
     return len(room)
+
+
+def sha(s):
+    return hashlib.sha256(s.encode()).hexdigest()
+
+
+def merkle_levels(leaves, fanout):
+    """All levels of one tree, leaves first."""
+    levels = [list(leaves)]
+    while len(levels[-1]) > 1:
+        below = levels[-1]
+        levels.append([sha("".join(below[i : i + fanout])) for i in range(0, len(below), fanout)])
+    return levels
+
+
+def merkle_path(levels, i, fanout):
+    """Siblings left and right of place ``i``, level by level."""
+    out = []
+    for level in levels[:-1]:
+        a = i - i % fanout
+        out.append(("".join(level[a:i]), "".join(level[i + 1 : a + fanout])))
+        i //= fanout
+    return out
+
+
+def merkle(rows, fanout=2):
+    """``[(group, subroot, root, path)]`` beside ``rows``, a list of ``(id, group, leaf)``."""
+    first = lambda v: (v is not None, v if v is not None else 0)
+    groups = sorted({g for _, g, _ in rows}, key=lambda g: (g is not None, (g or "").encode()))
+    placed = {g: sorted((n for n, r in enumerate(rows) if r[1] == g), key=lambda n: (*first(rows[n][0]), rows[n][2])) for g in groups}
+    trees = {g: merkle_levels([rows[n][2] for n in placed[g]], fanout) for g in groups}
+    top = merkle_levels([trees[g][-1][0] for g in groups], fanout)
+    out = [None] * len(rows)
+    for k, g in enumerate(groups):
+        for i, n in enumerate(placed[g]):
+            out[n] = (g, trees[g][-1][0], top[-1][0], merkle_path(trees[g], i, fanout) + merkle_path(top, k, fanout))
+    return out
+
+
+def hard_negatives(rows, anchor, positives=5, negatives=5, low=80, high=100, scale=256):
+    """``(anchor_id, positive_id, rank, negative_id, positive_score, negative_score)`` for rows ``(id, vector, label)``."""
+    used = [(i, [math.floor(scale * x) for x in v], y) for i, v, y in rows if y is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    first = lambda s, k: (-s, used[k][0] is None, used[k][0] or 0, k)
+    out = []
+    for a, (i, v, y) in enumerate(used):
+        if i is None or not anchor(i):
+            continue
+        score = [sum(p * q for p, q in zip(v, w)) for _, w, _ in used]
+        same = sorted((k for k in range(len(used)) if k != a and used[k][2] == y), key=lambda k: first(score[k], k))
+        for p in same[:positives]:
+            fit = [k for k in range(len(used)) if used[k][2] != y and low * score[p] <= high * score[k] <= high * score[p]]
+            for rank, k in enumerate(sorted(fit, key=lambda k: first(score[k], k))[:negatives], 1):
+                out.append((i, used[p][0], rank, used[k][0], score[p], score[k]))
+    return out

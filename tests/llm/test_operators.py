@@ -9,6 +9,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 from conftest import make, sentence
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import brute
@@ -84,10 +85,9 @@ def test_line_dedup_compares_all_earlier_places(spark):
     for i in range(40, 80):
         docs[i] = "\n".join(pool[draw.randrange(9)] for _ in range(draw.randrange(1, 12)))
     got = {r["doc_id"]: (r["text"], r["lines_removed"]) for r in lines.without_repeated_runs(make(spark, docs.items())).collect()}
-    assert got == brute.line_dedup_pairs(docs)
+    assert got == brute.line_dedup(docs)
     assert got[2] == (docs[2].split("\n")[0], 5)
     assert got[31] == ("\n".join([docs[31].split("\n")[0], docs[31].split("\n")[-1]]), 9)
-    assert brute.line_dedup(docs) != got
 
 
 def test_line_dedup_odd_input(odd, none):
@@ -151,22 +151,52 @@ def test_kneser_ney_matches_brute_force(spark):
         seq = squeeze(pad(text))
         for k, name in enumerate(model.languages):
             want = -np.mean([np.log(models[name][0](seq[a : a + 4], symbols)) for a in range(len(seq) - 3)])
-            assert row["entropy"][k] == pytest.approx(want, rel=1e-4)
+            assert row[language.ENTROPY][k] == pytest.approx(want, rel=1e-4)
 
 
 def test_language_odd_input(odd, none):
-    model = language.fit(odd)
-    got = language.identify(odd.drop("score"), model).collect()
+    clash = odd.withColumns({c: F.lit("mine") for c in ("lang_pred", "entropy", "n_grams", "has_letter", "of", "gram")})
+    model = language.fit(clash)
+    got = language.identify(clash, model)
+    assert got.columns == [c for c in clash.columns if c not in ("text", "score", "lang_pred")] + ["lang_pred", "score", "rejected"]
+    got = got.collect()
     assert len(got) == odd.count()
     for r in got:
-        assert 0 <= r["score"] <= 1
+        assert 0 <= r["score"] <= 1 and r["entropy"] == "mine"
         if r["doc_id"] in (4, 5, 6, 7):
             assert r["lang_pred"] == "und" and r["rejected"] and r["score"] == 0
     empty = language.fit(none)
     assert empty.languages == []
-    assert {r["lang_pred"] for r in language.identify(odd.drop("score"), empty).collect()} == {"und"}
+    assert {r["lang_pred"] for r in language.identify(odd, empty).collect()} == {"und"}
     assert language.of_known_language(none, model).count() == 0
-    assert language.of_known_language(odd, model).columns == odd.columns
+    assert language.of_known_language(clash, model).columns == clash.columns
+
+
+def test_language_tables_and_arrays_agree(spark):
+    """What a task cannot hold is looked up by joins, to the same entropies; unseen n-grams back off on both ways."""
+    draw = random.Random(26)
+    text = lambda letters, n: " ".join("".join(draw.choice(letters) for _ in range(draw.randrange(1, 7))) for _ in range(n))
+    rows = [(text("abcdé", 40), "aa") for _ in range(20)] + [(text("cdefgh", 40), "bb") for _ in range(20)] + [(text("日本語文", 30), "cc")]
+    model = language.fit(spark.createDataFrame(rows, "text string, lang string"))
+    new = spark.createDataFrame([(i, t) for i, t in enumerate([text("abch", 30), text("xyzab", 20), text("語本é", 9), "", None, "a", "12 !"])], "i int, text string")
+    whole = {r["i"]: r[language.ENTROPY] for r in language.entropies(new, model).collect()}
+    assert len(whole) == 7 and all(len(h) == 3 for h in whole.values())
+    for values in (0, 30, 300):
+        part = language.entropies(new, model, head_values=values)
+        assert part.columns == ["i", language.N_GRAMS, language.HAS_LETTER, language.ENTROPY]
+        for r in part.collect():
+            assert r[language.ENTROPY] == pytest.approx(whole[r["i"]], rel=1e-5)
+
+
+def test_letters_beyond_the_basic_plane_stay_apart():
+    keys = lambda t: language.ngram_keys(pa.array([t]))[0].tolist()
+    gothic, deseret, small = "\U00010330", "\U00010400", "\U00010428"
+    assert keys(deseret) == keys(small) and keys(gothic) != keys(small) and len(keys("ab" + gothic)) == len(keys("abcd"))
+    shifted = chr(0x10330 + 0x1000)  # 4096 code points on, no letter of the same pair of units
+    assert keys("a" + gothic) != keys("a" + shifted)
+    grams, edges, letters = language.ngram_keys(pa.array(["x", gothic * 3, None, "yz"]))
+    assert np.diff(edges).tolist() == [len(keys(t)) for t in ("x", gothic * 3, "", "yz")] and letters.tolist() == [True, True, False, True]
+    assert grams[edges[3] :].tolist() == keys("yz")
 
 
 def test_language_rejects_what_no_model_knows(spark):
