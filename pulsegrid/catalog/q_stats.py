@@ -348,6 +348,32 @@ def g23(spark, d):
     return stats.correlation_matrix(li, [*NUM, "flat"])
 
 
+# Columns of very different offsets and spreads, each without a value in another seventh of the rows; one is constant, two pairs never meet.
+_WIDE = {
+    f"c{k}": f"CASE WHEN (l_orderkey * {k} + l_linenumber) % 7 <> 0 THEN {10**(k % 5)} + (CAST(floor(l_extendedprice) AS BIGINT) * {k} + l_partkey) % {97 + k} END"
+    for k in range(1, 71)
+} | {
+    "c71": "CASE WHEN l_linenumber = 1 THEN 0.1 ELSE NULL END",
+    "c72": "CASE WHEN l_linenumber = 2 THEN l_quantity END",
+    "c73": "CASE WHEN l_linenumber = 1 THEN l_quantity ELSE 7.3 END",
+}
+_BESIDE = [(f"c{a}", f"c{b}") for a, b in [(k, 1 + k * 7 % 73) for k in range(1, 74)] + [(71, k) for k in range(1, 74, 9)] + [(72, 73), (73, 72), (71, 72), (72, 72)]]
+
+
+@query(
+    "g23_wide_correlation",
+    f"""WITH w AS MATERIALIZED (SELECT {", ".join(f"CAST({e} AS DOUBLE) AS {c}" for c, e in _WIDE.items())} FROM lineitem)
+    SELECT DISTINCT * FROM ({" UNION ALL ".join(
+        f"SELECT '{a}' AS var_a, '{b}' AS var_b, CASE WHEN min(a) < max(a) AND min(b) < max(b) THEN {r('corr(a, b)')} END AS r "
+        f"FROM (SELECT {a} AS a, {b} AS b FROM w WHERE {a} IS NOT NULL AND {b} IS NOT NULL)" for a, b in _BESIDE)})""",
+)
+def g23_wide(spark, d):
+    """The full matrix of 73 columns; the rows of a spread of pairs, which SQL can check one by one."""
+    li = table(spark, d, "lineitem").select(*[F.expr(e).cast("double").alias(c) for c, e in _WIDE.items()])
+    asked = spark.createDataFrame(sorted(set(_BESIDE)), "var_a string, var_b string")
+    return stats.correlation_matrix(li, list(_WIDE)).join(F.broadcast(asked), ["var_a", "var_b"], "left_semi")
+
+
 def _derived(spark, d):
     li = table(spark, d, "lineitem")
     return li.select(

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.operators.stats import cohen_d, correlation_pairs
+from pulsegrid.operators.stats import cohen_d
+from pulsegrid.plans.gram import correlations
 from pulsegrid.plans.quantile import column_quantiles
 
 
@@ -20,7 +21,7 @@ def flag_lowest(df: DataFrame, score: str, contamination: float = 0.1) -> DataFr
 
 def score_importance(df: DataFrame, score: str, features: Sequence[str], k: int = 20) -> DataFrame:
     """Absolute correlation of each feature with the score, top k."""
-    pairs = correlation_pairs(df, [(score, c) for c in features])
+    pairs = correlations(df, [score], features)
     return (
         pairs.select(F.col("var_b").alias("feature"), F.abs("r").alias("importance"))
         .orderBy(F.col("importance").desc_nulls_last(), "feature")

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.temporal import seconds_between
+from pulsegrid.plans.gram import correlations
 from pulsegrid.plans.quantile import columns_as_rows, exact_quantiles, quantile_table
 
 QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
@@ -113,38 +113,20 @@ def pearson(x: Column, y: Column) -> Column:
     return F.try_divide(F.regr_sxy(y, x), spread)
 
 
-def correlation_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """Correlation of each pair in long form; one scan and one aggregate row for all pairs."""
-    row = df.agg(*[pearson(F.col(a), F.col(b)).alias(f"__r{i}") for i, (a, b) in enumerate(pairs)])
-    entries = F.array(
-        *[
-            F.struct(F.lit(a).alias("var_a"), F.lit(b).alias("var_b"), F.col(f"__r{i}").alias("r"))
-            for i, (a, b) in enumerate(pairs)
-        ]
-    )
-    return row.select(F.explode(entries).alias("__e")).select("__e.*")
-
-
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Full pairwise-complete Pearson matrix in long form.
+    """Full pairwise-complete Pearson matrix in long form, however many columns; see ``plans/gram.py``.
 
-    The upper triangle is computed and mirrored; the diagonal is 1 for a column
-    with spread.
+    The diagonal is 1 for a column with spread; a column without spread has NULL
+    everywhere. NULL and NaN are no values.
     """
-    upper = correlation_pairs(df, list(combinations(cols, 2)))
-    mirrored = F.array(
-        F.struct("var_a", "var_b"), F.struct(F.col("var_b").alias("var_a"), F.col("var_a").alias("var_b"))
-    )
-    both = upper.select(F.explode(mirrored).alias("__p"), "r").select("__p.var_a", "__p.var_b", "r")
-    spread = df.agg(*[(F.min(c) < F.max(c)).alias(c) for c in cols])
-    diagonal = spread.unpivot([], list(cols), "var_a", "varies").select(
-        "var_a", F.col("var_a").alias("var_b"), F.when(F.col("varies"), F.lit(1.0)).alias("r")
-    )
-    return both.unionByName(diagonal)
+    diagonal = F.col("var_a") == F.col("var_b")
+    return correlations(df, cols).withColumn("r", F.when(diagonal & F.col("r").isNotNull(), F.lit(1.0)).otherwise(F.col("r")))
 
 
 def strong_pairs(df: DataFrame, cols: Sequence[str], threshold: float = 0.7) -> DataFrame:
-    pairs = correlation_pairs(df, list(combinations(cols, 2)))
+    """Pairs of different columns beyond the threshold, the column that is named first in ``cols`` as ``var_a``."""
+    order = F.array(*[F.lit(c) for c in cols])
+    pairs = correlations(df, cols).where(F.array_position(order, F.col("var_a")) < F.array_position(order, F.col("var_b")))
     return pairs.where(F.abs("r") > threshold).orderBy(F.abs("r").desc(), "var_a", "var_b")
 
 
@@ -153,7 +135,7 @@ def target_correlations(
 ) -> DataFrame:
     """Top k correlations per target: ``abs``, ``top`` (largest) or ``bottom`` (smallest)."""
     order = {"abs": F.abs("r").desc(), "top": F.col("r").desc(), "bottom": F.col("r").asc()}[by]
-    pairs = correlation_pairs(df, [(t, c) for t in targets for c in cols if c != t])
+    pairs = correlations(df, targets, cols).where(F.col("var_a") != F.col("var_b"))
     # one row per pair of columns: the window is over the schema, not over data
     w = Window.partitionBy("var_a").orderBy(order, "var_b")
     return (
