@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import csv
-from collections.abc import Mapping, Sequence
+import zlib
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulsegrid.functions.temporal import date_and_time, parse_timestamp
+from pulsegrid.session import freeze
 
 # File-name keywords of room sensors and their categories; the first hit wins.
 SENSOR_CATEGORIES = {
@@ -56,7 +60,14 @@ def file_headers(
     options = {"recursiveFileLookup": recursive} | ({"pathGlobFilter": pattern} if pattern else {})
     paths = path if isinstance(path, str) else list(path)
     place = F.col("_metadata.file_path").alias("__file")
-    files = spark.read.format("binaryFile").options(**options).load(paths).select(place, "path", "length")
+    binary = spark.read.format("binaryFile").options(**options).load(paths)
+    # a scan passes over empty files, the list of its files does not
+    name = F.regexp_replace("name", "^([A-Za-z][A-Za-z0-9+.-]*):///", "$1:/")
+    listed = spark.createDataFrame([(n,) for n in binary.inputFiles()], "name string").select(name.alias("__file"))
+    plain = F.url_decode(F.regexp_replace("__file", r"\+", "%2B"))
+    files = listed.join(binary.select(place, "path", "length"), "__file", "left").select(
+        "__file", F.coalesce("path", plain).alias("path"), F.coalesce("length", F.lit(0)).alias("length")
+    )
     lines = (
         spark.read.options(ignoreCorruptFiles=True, ignoreMissingFiles=True, **options)
         .text(paths)
@@ -303,3 +314,103 @@ def category_of(name: Column, keywords: Mapping[str, str] = SENSOR_CATEGORIES) -
     for word, category in reversed(keywords.items()):
         out = F.when(name.contains(word), F.lit(category)).otherwise(out)
     return out
+
+
+@dataclass
+class Checked:
+    """``rows``: the good records, typed. ``bad``: ``path, line, reason, record`` of all others and, without a line, of whole files."""
+
+    rows: DataFrame
+    bad: DataFrame
+
+
+def read_checked(spark: SparkSession, path: str, schema: str, pattern: str = "*.csv*", sep: str = ",") -> Checked:
+    """Like ``read_tree``, but a record that does not fit its header or the schema is set aside with the reason.
+
+    Files are read as lines, one record a line, and every line is parsed by the
+    header of its own file. Reasons are a wrong number of fields, values that are
+    no number or time (the columns are named), and bytes that are no UTF-8. An
+    empty field is a NULL and no fault. Files that are empty, cannot be read or
+    have no known column are listed without a line, and so are compressed files
+    whose body breaks off, of which the rows before the break are kept. Blank
+    lines are no records. Line numbers count the header as line 1.
+    """
+    wanted = _schema(spark, schema)
+    judged = freeze(_judged(spark, path, wanted, pattern, sep))
+    layouts: dict[tuple[str, ...], list[str]] = {}
+    for row in judged.where("reason is null").orderBy("path").collect():  # a row per file, as when Spark lists them
+        layouts.setdefault(tuple(_names(row["header"], sep)), []).append(row["path"])
+    whole = judged.where("reason is not null").select("path", F.lit(None).cast("bigint").alias("line"), "reason", F.lit(None).cast("string").alias("record"))
+    bad = whole.unionByName(_broken_off(spark, judged))
+    rows = None
+    for names, paths in layouts.items():
+        parsed = _parsed_lines(spark, paths, names, {f.name.lower(): f.dataType for f in wanted.fields}, sep)
+        own = {c.lower(): c for c in names}
+        picked = [F.col("rec")[own[f.name.lower()]].alias(f.name) if f.name.lower() in own else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted.fields]
+        good = parsed.where("reason is null").select(*picked)
+        rows = good if rows is None else rows.unionByName(good)
+        bad = bad.unionByName(parsed.where("reason is not null").select("path", "line", "reason", F.col("value").alias("record")))
+    return Checked(rows if rows is not None else spark.createDataFrame([], wanted), bad)
+
+
+def _parsed_lines(spark: SparkSession, paths: list[str], names: tuple[str, ...], types: Mapping[str, T.DataType], sep: str) -> DataFrame:
+    """``path, line, value, rec, reason`` of the records of files with one header; ``rec`` has the fields by name."""
+    mid = F.monotonically_increasing_id()
+    lines = spark.read.options(ignoreCorruptFiles=True).text(paths).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), mid.alias("mid"), "value"
+    )
+    # a row per part of a file: its first line's place, and the lines of the parts before it
+    parts = lines.groupBy("path", "block").agg(F.min("mid").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("path", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    numbered = lines.join(parts, ["path", "block"]).withColumn("line", F.col("before") + F.col("mid") - F.col("first") + 1)
+    records = numbered.where((F.col("line") > 1) & (F.trim("value") != "")).select("path", "line", "value")
+    typed = [T.StructField(n, types.get(n.lower(), T.StringType())) for n in names]
+    options = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__corrupt"}
+    ddl = lambda s: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in s)
+    as_typed, as_text = ddl([*typed, T.StructField("__corrupt", T.StringType())]), ddl([T.StructField(n, T.StringType()) for n in names])
+    valid = F.is_valid_utf8("value")
+    clean = F.when(valid, F.col("value"))
+    out = records.withColumn("rec", F.from_csv(clean, as_typed, options)).withColumn("raw", F.from_csv(clean, as_text, options))
+    fields = F.size(F.split(F.regexp_replace("value", '"[^"]*"', ""), f"\\Q{sep}\\E"))
+    faults = F.array_compact(F.array(*[
+        F.when(F.col("rec")[f.name].isNull() & (F.trim(F.col("raw")[f.name]) != ""), F.lit(f.name)) for f in typed if not isinstance(f.dataType, T.StringType)
+    ] or [F.lit(None).cast("string")]))
+    reason = (
+        F.when(~valid, "not UTF-8")
+        .when(fields != len(names), F.concat(fields.cast("string"), F.lit(f" fields of {len(names)}")))
+        .when(F.size(faults) > 0, F.concat(F.lit("unreadable "), F.array_join(faults, ", ")))
+        .when(F.col("rec")["__corrupt"].isNotNull(), "malformed")
+    )
+    return out.select("path", "line", "value", "rec", reason.alias("reason"))
+
+
+def _broken_off(spark: SparkSession, judged: DataFrame) -> DataFrame:
+    """Compressed files whose body cannot be read to its end. A task holds one such file at a time."""
+    schema = "path string, line bigint, reason string, record string"
+    packed = [r["path"] for r in judged.where("reason is null and path like '%.gz'").collect()]
+    if not packed:
+        return spark.createDataFrame([], schema)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            broken = []
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                rest, ended = content.as_buffer().to_pybytes(), False
+                try:
+                    while rest:
+                        unpack = zlib.decompressobj(31)
+                        while rest and not unpack.eof:
+                            unpack.decompress(rest, 1 << 20)
+                            rest = unpack.unconsumed_tail
+                        ended, rest = unpack.eof, unpack.unused_data
+                except zlib.error:
+                    ended = False
+                if not ended:
+                    broken.append(path)
+            yield pa.RecordBatch.from_pylist([{"path": p, "line": None, "reason": "breaks off", "record": None} for p in broken], schema=_BROKEN)
+
+    return spark.read.format("binaryFile").load(packed).select("path", "content").mapInArrow(judge, schema)
+
+
+_BROKEN = pa.schema([("path", pa.string()), ("line", pa.int64()), ("reason", pa.string()), ("record", pa.string())])
