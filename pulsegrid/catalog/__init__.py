@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("q_sources", "q_joins", "q_stats", "q_features", "q_metrics", "q_models")
+MODULES = ("q_sources", "q_joins", "q_stats", "q_features", "q_metrics", "q_models", "q_checks")
 
 
 def load_all() -> None:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from pulsegrid.catalog.base import query, r, table
@@ -10,6 +9,7 @@ from pulsegrid.functions import transforms as tf
 from pulsegrid.ml import classify, cluster, dbscan, iforest, lof, reduce
 from pulsegrid.ml.fitted import class_weights
 from pulsegrid.operators.split import random_split
+from pulsegrid.session import freeze
 
 FEATURES = ["lines", "quantity", "price", "discount", "tax", "late"]
 
@@ -30,7 +30,7 @@ def order_features(spark, d):
 
 
 def training(spark, d, classes: int = 3):
-    """Features scaled with training statistics, label and split, kept for the fits that follow."""
+    """Features scaled with training statistics, label and split, written once for the fits that follow."""
     data = order_features(spark, d)
     # a price that depends on the features, so that there is something to learn
     target = F.col("price") + F.col("o_totalprice") / 4
@@ -42,7 +42,7 @@ def training(spark, d, classes: int = 3):
     data = random_split(data, "o_orderkey", "label")
     scaled = tf.zscore(data, FEATURES, "_z", fit_on=data.where("split = 'train'"))
     out = classify.assemble(scaled, [f"{c}_z" for c in FEATURES])
-    return out.select("o_orderkey", "label", "split", "target", classify.VECTOR).persist(StorageLevel.MEMORY_AND_DISK)
+    return freeze(out.select("o_orderkey", "label", "split", "target", classify.VECTOR))
 
 
 def _scored(fitted, data):
@@ -162,7 +162,7 @@ def profiles(spark, d):
 @query("m07_kmeans_profiles")
 def m07(spark, d):
     p = profiles(spark, d)
-    return cluster.best_kmeans(p, 3, starts=20).transform(p).select("l_suppkey", "cluster")
+    return cluster.best_kmeans(p, 3, starts=20).transform(p, classify.VECTOR).select("l_suppkey", "cluster")
 
 
 @query("m08_k_sweep")

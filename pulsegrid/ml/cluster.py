@@ -3,54 +3,87 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.ml.classify import VECTOR
-from pulsegrid.plans.ordered import windowed
-
+from pulsegrid.ml.kmeans import KMeansFit, fit_all, mean_silhouettes
+from pulsegrid.plans.ordered import position, windowed
+from pulsegrid.session import freeze
 
 MAX_CLUSTERS = 10_000
-STARTS_AT_ONCE = 4
-
+# Rows of one side of a task that sums up distances between rows.
+PAIR_BLOCK = 1_024
 
-def best_kmeans(df: DataFrame, k: int, starts: int = 20, seed: int = 42):
-    """K-means with the least cost of several starts. The vectors are read once per start, so they
-    are kept between the runs; a lost block is computed again."""
-    vectors = df.select(VECTOR).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return _best_of(vectors, k, starts, seed)
-    finally:
-        vectors.unpersist()
 
+def best_kmeans(df: DataFrame, k: int, starts: int = 20, seed: int = 42) -> KMeansFit:
+    """K-means with the least cost of several starts, which share every read of the table (``ml/kmeans.py``)."""
+    return fit_all(df, VECTOR, [k], starts, seed)[0][k]
 
-def _best_of(vectors: DataFrame, k: int, starts: int, seed: int):
-    """Starts are independent of each other, so a few are fitted at once; ties go to the first."""
 
-    def fit(i: int):
-        return KMeans(k=k, seed=seed + i, featuresCol=VECTOR, predictionCol="cluster").fit(vectors)
+def sweep_k(df: DataFrame, ks: Sequence[int] = range(2, 11), starts: int = 20, seed: int = 42) -> DataFrame:
+    """Inertia and silhouette (squared Euclidean) of the best of several starts for each k, all runs side by side."""
+    fits, rows = fit_all(df, VECTOR, ks, starts, seed)
+    silhouettes = mean_silhouettes(rows, fits)
+    return df.sparkSession.createDataFrame([(k, fits[k].cost, silhouettes[k]) for k in ks], "k int, inertia double, silhouette double")
 
-    with ThreadPoolExecutor(STARTS_AT_ONCE) as pool:
-        return min(pool.map(fit, range(starts)), key=lambda m: m.summary.trainingCost)
 
+def silhouette(df: DataFrame, cluster: str, features: Sequence[str]) -> DataFrame:
+    """``clusters, rows, silhouette``: the exact Euclidean silhouette over all pairs of rows, whatever the clusters' sizes.
 
-def sweep_k(df: DataFrame, ks: Sequence[int] = range(2, 11), starts: int = 20, seed: int = 42) -> DataFrame:
-    """Inertia and silhouette (squared Euclidean) for each k; the vectors are kept for all of them."""
-    evaluator = ClusteringEvaluator(featuresCol=VECTOR, predictionCol="cluster")
-    vectors = df.select(VECTOR).persist(StorageLevel.MEMORY_AND_DISK)
-    rows = []
-    try:
-        for k in ks:
-            model = _best_of(vectors, k, starts, seed)
-            rows.append((k, float(model.summary.trainingCost), float(evaluator.evaluate(model.transform(vectors)))))
-    finally:
-        vectors.unpersist()
-    return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
+    Rows in the order of their clusters are cut into blocks, and each pair of blocks
+    is one task that hands on, for the rows of both sides, their summed distances
+    to each cluster of the other. No pairs are written, a large cluster is many
+    blocks and many small ones share one. A row that is alone in its cluster counts
+    0. Rows with a NULL cluster or feature take no part; fewer than two clusters
+    give NULL.
+    """
+    x = F.array(*[F.col(f"`{c}`").cast("double") for c in features])
+    rows = df.select(F.col(f"`{cluster}`").alias("k"), x.alias("x")).where(F.col("k").isNotNull() & ~F.exists("x", lambda v: v.isNull()))
+    # which of two equal rows comes first makes no difference
+    numbered = freeze(position(rows, [], [F.col("k"), F.col("x")], "id").withColumn("id", F.col("id") - 1))
+    sizes = freeze(numbered.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("first")))
+    n = sizes.agg(F.sum("n")).first()[0] or 0
+    blocks = max(1, -(-n // PAIR_BLOCK))
+    # a cluster is named by the number of its first row
+    named = numbered.join(sizes, "k").select("id", F.col("first").alias("c"), "x", F.floor(F.col("id") / PAIR_BLOCK).alias("own"))
+    # each pair of blocks once: (i, j) with i <= j
+    ahead = named.withColumn("i", F.col("own")).withColumn("j", F.explode(F.sequence("own", F.lit(blocks - 1).cast("bigint"))))
+    behind = named.select(*[F.col(c).alias(c) for c in named.columns]).withColumn("j", F.col("own"))
+    behind = behind.withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), "own")))
+
+    def sums(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
+        out = [pa.table({"id": pa.array([], pa.int64()), "c": pa.array([], pa.int64()), "s": pa.array([], pa.float64())})]
+        if a.num_rows and b.num_rows:
+            a, b = a.sort_by("id"), b.sort_by("id")
+            u, v = (t["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1) for t in (a, b))
+            d = np.zeros((len(u), len(v)))
+            for f in range(u.shape[1]):
+                d += (u[:, f, None] - v[None, :, f]) ** 2
+            np.sqrt(d, out=d)
+            sides = [(a, b, d)] if key[0].as_py() == key[1].as_py() else [(a, b, d), (b, a, d.T)]
+            for of, to, dist in sides:
+                c, start = np.unique(to["c"].to_numpy(), return_index=True)
+                s = np.add.reduceat(dist, start, axis=1)
+                out.append(pa.table({"id": np.repeat(of["id"].to_numpy(), len(c)), "c": np.tile(c, of.num_rows), "s": s.ravel()}))
+        return pa.concat_tables(out)
+
+    ahead = ahead.select(*[F.col(c).alias(c) for c in ahead.columns])
+    met = ahead.groupBy("i", "j").cogroup(behind.groupBy("i", "j")).applyInArrow(sums, "id bigint, c bigint, s double")
+    away = met.groupBy("id", "c").agg(F.sum("s").alias("s"))
+    facts = sizes.select(F.col("first").alias("c"), "n")
+    per_row = away.join(facts, "c").join(named.select("id", F.col("c").alias("k")), "id")
+    mine = F.col("c") == F.col("k")
+    means = per_row.groupBy("id").agg(
+        F.max(F.when(mine & (F.col("n") > 1), F.col("s") / (F.col("n") - 1))).alias("a"), F.min(F.when(~mine, F.col("s") / F.col("n"))).alias("b")
+    )
+    value = F.when(F.col("b").isNotNull(), F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
+    whole = means.agg(F.avg(value).alias("silhouette"))
+    # two single rows
+    return sizes.agg(F.count("*").alias("clusters"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).crossJoin(whole)
 
 
 def cluster_quality(df: DataFrame, cluster: str, features: Sequence[str]) -> DataFrame:

@@ -6,16 +6,17 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulsegrid.ml.anomaly import flag_lowest
+from pulsegrid.plans.sample import bottom_k
 from pulsegrid.session import freeze
 
 SEED = 42
 # the children of node i are 2 i + 1 and 2 i + 2; a leaf has feature -1
-NODE_SCHEMA = "tree int, node int, feature int, threshold double, length double"
+NODE_SCHEMA = "tree int, node int, feature int, threshold double, length double, rows int"
 
 
 def average_path(n):
@@ -27,35 +28,10 @@ def average_path(n):
 
 
 def tree_samples(df: DataFrame, row_id: str, features: Sequence[str], trees: int, sample: int, seed: int) -> DataFrame:
-    """``(tree, id, x)`` with exactly ``sample`` distinct rows per tree.
-
-    A pool of the rows with the smallest hashes is taken first (a filter on one
-    hash, no sort of the table), then each tree draws from the pool.
-    """
-    n = df.count()
-    wanted = min(n, trees * sample)
-    h = F.pmod(F.xxhash64(F.lit(seed), F.col(row_id)), F.lit(1 << 31)) / float(1 << 31)
+    """``(tree, id, x)`` with ``sample`` rows per tree, or all rows if there are fewer, in one read of the table."""
     x = F.array(*[F.col(c).cast("double") for c in features])
-    rows = df.select(F.col(row_id).alias("id"), x.alias("x"), h.alias("h"))
-    # the share is enlarged until the pool is large enough, up to all rows
-    share = min(1.0, 1.2 * wanted / max(n, 1))
-    while share < 1.0 and rows.where(F.col("h") < share).count() < min(n, sample):
-        share = min(1.0, share * 2)
-    pool = rows if share >= 1.0 else rows.where(F.col("h") < share)
-    pool_rows = n if share >= 1.0 else pool.count()
-    each = min(sample, pool_rows)
-    # four times the wanted rows pass a hash threshold per tree; the smallest hashes of those are taken
-    tree_hash = F.xxhash64(F.lit(seed), F.col("tree"), F.col("id"))
-    drawn = pool.select(F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "id", "x")
-    drawn = drawn.withColumn("k", F.pmod(tree_hash, F.lit(1 << 31)))
-    w = Window.partitionBy("tree").orderBy("k", "id")  # some hundred rows per tree
-    limit = (1 << 31) * 4 * each // max(pool_rows, 1)
-    while True:
-        ranked = drawn.where(F.col("k") < limit).withColumn("r", F.row_number().over(w))
-        chosen = freeze(ranked.where(F.col("r") <= each).select("tree", "id", "x"))
-        if limit >= (1 << 31) or chosen.count() == trees * each:
-            return chosen
-        limit *= 4
+    rows = df.select(F.xxhash64(F.lit(seed), F.col(row_id)).alias("h"), F.col(row_id).alias("id"), x.alias("x"))
+    return bottom_k(rows, "h", ["id", "x"], trees, sample).withColumnRenamed("draw", "tree")
 
 
 def _grow(pdf: pd.DataFrame, seed: int) -> pd.DataFrame:
@@ -72,14 +48,14 @@ def _grow(pdf: pd.DataFrame, seed: int) -> pd.DataFrame:
         low, high = part.min(0), part.max(0)
         usable = np.flatnonzero(high > low)
         if depth >= limit or len(rows) <= 1 or not len(usable):
-            nodes.append((tree, node, -1, 0.0, depth + float(average_path(len(rows)))))
+            nodes.append((tree, node, -1, 0.0, depth + float(average_path(len(rows))), len(rows)))
             continue
         f = int(rng.choice(usable))
         cut = float(rng.uniform(low[f], high[f]))
         go_left = part[:, f] <= cut
-        nodes.append((tree, node, f, cut, 0.0))
+        nodes.append((tree, node, f, cut, 0.0, 0))
         todo += [(2 * node + 1, rows[go_left], depth + 1), (2 * node + 2, rows[~go_left], depth + 1)]
-    return pd.DataFrame(nodes, columns=["tree", "node", "feature", "threshold", "length"])
+    return pd.DataFrame(nodes, columns=["tree", "node", "feature", "threshold", "length", "rows"])
 
 
 def _full_tree(nodes: pd.DataFrame, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,9 +82,9 @@ def fit_forest(
 ) -> dict:
     """The forest as arrays: fewer than ``4 * sample`` nodes per tree, whatever the size of the table."""
     drawn = tree_samples(df, row_id, features, trees, sample, seed)
-    grown = drawn.groupBy("tree").applyInPandas(lambda pdf: _grow(pdf, seed), NODE_SCHEMA)
-    nodes = grown.toPandas()
-    used = drawn.where("tree = 0").count()
+    nodes = drawn.groupBy("tree").applyInPandas(lambda pdf: _grow(pdf, seed), NODE_SCHEMA).toPandas()
+    # all trees have samples of one size, which the sizes of their leaves add up to
+    used = int(nodes.loc[nodes["tree"] == 0, "rows"].sum())
     depth = int(np.ceil(np.log2(max(used, 2))))
     return {
         "trees": [_full_tree(g, depth) for _, g in nodes.groupby("tree")],

@@ -29,18 +29,26 @@ def _scores(points: DataFrame, found: DataFrame, k: int) -> DataFrame:
     return mean.join(density, "uid").select("uid", (-F.col("mean_lrd") / F.col("lrd")).alias("score"))
 
 
+def _points(df: DataFrame, row_id: str, features: Sequence[str]) -> DataFrame:
+    """The points of the rows that have all features."""
+    return freeze(fold_points(df.dropna(subset=list(features)), row_id, features))
+
+
 def _attach(df: DataFrame, features: Sequence[str], points: DataFrame, values: DataFrame) -> DataFrame:
-    """Values per point back to all rows at the point."""
+    """Values per point back to all rows at the point; a row without a point has NULL."""
     x = F.array(*[F.col(c).cast("double") for c in features])
     named = points.select("uid", "x").join(values, "uid").drop("uid").withColumnRenamed("x", "__x")
-    return df.withColumn("__x", x).join(named, "__x").drop("__x")
+    return df.withColumn("__x", x).join(named, "__x", "left").drop("__x")
 
 
 def local_outlier_factor(
     df: DataFrame, row_id: str, features: Sequence[str], k: int = 20, contamination: float = 0.1
 ) -> DataFrame:
-    """Adds ``score`` (-LOF), ``is_anomaly`` and ``anomaly``. Features are expected scaled and complete."""
-    points = freeze(fold_points(df, row_id, features))
+    """Adds ``score`` (-LOF), ``is_anomaly`` and ``anomaly``. Features are expected scaled.
+
+    A row with a NULL or NaN feature takes no part and has NULL in all three.
+    """
+    points = _points(df, row_id, features)
     scores = freeze(_scores(points, nearest(points, k), k))
     return flag_lowest(_attach(df, features, points, scores), "score", contamination)
 
@@ -49,7 +57,7 @@ def lof_sweep(
     df: DataFrame, row_id: str, features: Sequence[str], ks: Sequence[int] = (5, 10, 20, 30, 50), contamination: float = 0.1
 ) -> DataFrame:
     """Anomalies and mean scores for several k. The neighbours are searched once, for the largest."""
-    points = freeze(fold_points(df, row_id, features))
+    points = _points(df, row_id, features)
     found = freeze(nearest(points, max(ks)))
     rows = []
     for k in ks:
@@ -69,7 +77,7 @@ def lof_sweep(
 
 def k_distances(df: DataFrame, row_id: str, features: Sequence[str], k: int) -> DataFrame:
     """Distance of each row to its k-th neighbour, the row itself being the first."""
-    points = freeze(fold_points(df, row_id, features))
+    points = _points(df, row_id, features)
     near = weighted_neighbours(points, nearest(points, k), k, count_self=True)
     kd = near.groupBy("uid").agg(F.max("dist").alias("k_distance"))
     return _attach(df, features, points, kd)
