@@ -10,7 +10,7 @@ their squared distance to the centres drawn so far, as the rows with the least
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,6 @@ class KMeansFit:
     centres: np.ndarray
     cost: float
     rounds: int
-    sizes: np.ndarray = field(default_factory=lambda: np.empty(0))
 
     def transform(self, df: DataFrame, vector: str, out: str = "cluster") -> DataFrame:
         """``df`` with the number of the nearest centre, the first of equally near ones."""
@@ -110,7 +109,7 @@ def lloyd(rows: DataFrame, start: Mapping[int, np.ndarray], rounds: int = 300) -
             way = ((new - moving[run]) ** 2).sum(1).max()
             size = max(1.0, t[:, 2].sum() / max(t[:, 0].sum(), 1.0))
             if way <= STILL * size or number == rounds:
-                fits[run] = KMeansFit(moving[run], float(t[:, 1].sum()), number, t[:, 0])
+                fits[run] = KMeansFit(moving[run], float(t[:, 1].sum()), number)
             moving[run] = new
         moving = {run: c for run, c in moving.items() if run not in fits}
         if not moving:
@@ -242,4 +241,4 @@ def mean_silhouettes(rows: DataFrame, fits: Mapping[int, KMeansFit]) -> dict[int
 
     got = rows.select("x").mapInArrow(gather, "k int, s double").groupBy("k").agg(F.sum("s").alias("s")).collect()
     n = {k: t[:, 0].sum() for k, t in facts.items()}
-    return {r["k"]: r["s"] / n[r["k"]] for r in got}
+    return {r["k"]: float(r["s"] / n[r["k"]]) for r in got}

@@ -13,10 +13,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 64  # columns of one side of a tile
@@ -188,14 +189,51 @@ def pair_moments(df: DataFrame, left: Sequence[str], right: Sequence[str] | None
     return some.repartition("i", "j").sortWithinPartitions("i", "j").mapInArrow(lambda it: fold(it, True), cell_schema)
 
 
+FEW_PAIRS = 40
+
+
+def _one_row(df: DataFrame, pairs: Sequence[tuple[str, str]], turned: bool) -> DataFrame:
+    """``var_a, var_b, r`` of a few pairs (and ``turned``) from one aggregate row, where starting Python would cost more than it saves."""
+    own = [a for a, b in pairs if a == b]
+    columns = list(dict.fromkeys(c for p in pairs for c in p))
+    pairs = [p for p in pairs if p[0] != p[1]]
+    value = {c: F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")) for c in columns}
+    named = df.select(*[value[c].alias(f"c{i}") for i, c in enumerate(columns)])
+    at = {c: F.col(f"c{i}") for i, c in enumerate(columns)}
+
+    def r(a: str, b: str) -> Column:
+        x, y = at[a], at[b]
+        # the sums skip incomplete pairs by themselves, and a constant column deviates by exactly 0
+        return F.try_divide(F.regr_sxy(y, x), F.sqrt(F.regr_sxx(y, x)) * F.sqrt(F.regr_syy(y, x)))
+
+    # a second aggregate, as one of both would be too large to be compiled
+    varies = named.agg(*[(F.min(at[c]) < F.max(at[c])).alias(f"v{i}") for i, c in enumerate(own)]) if own else None
+    rows = None
+    if pairs:
+        row = named.agg(*[r(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+        asked = [(a, b, i) for i, (a, b) in enumerate(pairs)] + [(b, a, i) for i, (a, b) in enumerate(pairs) if turned]
+        cells = F.array(*[F.struct(F.lit(a).alias("var_a"), F.lit(b).alias("var_b"), F.col(f"r{i}").alias("r")) for a, b, i in asked])
+        rows = row.select(F.explode(cells).alias("c")).select("c.*")
+    if own:
+        ones = F.array(*[F.struct(F.lit(c).alias("var_a"), F.lit(c).alias("var_b"), F.when(F.col(f"v{i}"), F.lit(1.0)).alias("r")) for i, c in enumerate(own)])
+        diagonal = varies.select(F.explode(ones).alias("c")).select("c.*")
+        rows = diagonal if rows is None else rows.unionByName(diagonal)
+    return rows
+
+
 def correlations(df: DataFrame, left: Sequence[str], right: Sequence[str] | None = None) -> DataFrame:
-    """``var_a, var_b, r``: Pearson over complete pairs, NULL without spread on either side or without rows."""
-    names = lambda cols: F.array(*[F.lit(c) for c in cols])
-    cells = pair_moments(df, left, right)
-    spread = F.sqrt("aa") * F.sqrt("bb")
-    r = F.when((F.col("aa") > 0) & (F.col("bb") > 0), F.col("ab") / spread)
-    return cells.select(
-        F.get(names(left), F.col("a")).alias("var_a"),
-        F.get(names(right if right is not None else left), F.col("b")).alias("var_b"),
-        F.when(r.isNotNull() & ~F.isnan(r), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("r"),
-    )
+    """``var_a, var_b, r``: Pearson over complete pairs, NULL without spread on either side or without rows.
+
+    All pairs of columns of ``left``, or of one of ``left`` and one of ``right``. Up to
+    ``FEW_PAIRS`` different pairs are aggregated as expressions, more as tiles.
+    """
+    pairs = list(combinations_with_replacement(left, 2)) if right is None else [(a, b) for a in left for b in right]
+    if len(pairs) <= FEW_PAIRS:
+        rows = _one_row(df, pairs, turned=right is None)
+    else:
+        names = lambda cols: F.array(*[F.lit(c) for c in cols])
+        cells = pair_moments(df, left, right)
+        spread = F.sqrt("aa") * F.sqrt("bb")
+        r = F.when((F.col("aa") > 0) & (F.col("bb") > 0), F.col("ab") / spread)
+        rows = cells.select(F.get(names(left), F.col("a")).alias("var_a"), F.get(names(right if right is not None else left), F.col("b")).alias("var_b"), r.alias("r"))
+    return rows.withColumn("r", F.when(F.col("r").isNotNull() & ~F.isnan("r"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("r")))))

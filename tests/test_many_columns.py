@@ -66,7 +66,10 @@ def test_tiles_are_handed_on_where_they_do_not_fit(wide, monkeypatch):
             assert got[some[a], some[b]] == (want if want is None else pytest.approx(want, abs=1e-5 if 11 in (a, b) else 1e-9))
 
 
-def test_targets_and_odd_columns(spark):
+@pytest.mark.parametrize("few", [0, 40])
+def test_targets_and_odd_columns(spark, monkeypatch, few):
+    """Alike from one aggregate row and from tiles."""
+    monkeypatch.setattr(gram, "FEW_PAIRS", few)
     rows = [(1.0, 2.0, None, float("nan"), 5), (2.0, 4.1, 1.0, 1.0, 5), (3.0, 5.9, 2.0, 2.5, 5), (4.0, 8.2, 2.5, 2.0, 5)]
     df = spark.createDataFrame(rows, "`a.b` double, t double, n double, w double, same int")
     got = {(r["var_a"], r["var_b"]): r["r"] for r in gram.correlations(df, ["t"], ["a.b", "n", "w", "same", "t"]).collect()}
