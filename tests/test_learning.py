@@ -90,8 +90,8 @@ def brute_lof(x, k):
 
 
 def test_lof_equals_brute_force_over_many_cells(spark, monkeypatch):
-    monkeypatch.setattr(knn, "ROWS_PER_CELL", 12)
-    monkeypatch.setattr(knn, "BLOCK", 9)
+    for name, value in (("LEAF", 12), ("FAN", 5), ("STORED_BLOCK", 9), ("ASKING_BLOCK", 9)):
+        monkeypatch.setattr(knn, name, value)
     rng = np.random.default_rng(2)
     x = np.vstack([rng.normal(0, 1, (120, 3)), rng.normal(6, 0.2, (60, 3)), [[20.0, 20, 20]]])
     pdf = pd.DataFrame(x, columns=list("abc")).rename_axis("id").reset_index()
