@@ -11,6 +11,7 @@ from pulsegrid.operators import sequences as seq
 from pulsegrid.operators import split
 from pulsegrid.operators.calendar import calendar_facts
 from pulsegrid.operators.joins import group_mean, keep_one
+from pulsegrid.operators.ordered_features import OrderedFeatures
 from pulsegrid.operators.sets import union_all
 
 ORDER = ["ts", "event_id"]
@@ -102,6 +103,19 @@ def w11(spark, d):
     return seq.sliding_sequences(e, ["user_id"], ORDER, ["value", "num"], "value", 3)
 
 
+@query(
+    "w13_ordered_features",
+    f"""SELECT event_id, {r(f'lag(value, 1) {W}')} AS value_lag1, {r(f'lag(value, 2) {W}')} AS value_lag2,
+    {r(f'value - lag(value) {W}')} AS value_change, {r(f'avg(value) {W3}')} AS value_rolling_mean,
+    {r(f'stddev_samp(value) {W3}')} AS value_rolling_std, CASE WHEN lag(event_id, 1) {W} IS NOT NULL THEN
+    CAST([lag(value, 1) {W}, value] AS DOUBLE[]) END AS last_two, row_number() {W} - 1 AS seq_position FROM events""",
+)
+def w13(spark, d):
+    made = OrderedFeatures(rows(spark, d), ["user_id"], ORDER).lags("value", [1, 2]).differences({"value": "value_change"})
+    made = made.rolling("value", 3).sequences(["value"], 2, "last_two").position().table()
+    return made.drop("user_id", "ts", "value").withColumn("last_two", F.flatten("last_two"))
+
+
 @query(
     "w12_chronological_split",
     """WITH k AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS k, count(*) OVER () AS n FROM events)
