@@ -1,10 +1,12 @@
 """Token ids in shards of raw binary payload, with a minimal perfect hash index over the keys.
 
-A store is a folder of Parquet files that Spark writes and commits; a row is a
-block: the ids of some documents as one binary payload (2 bytes an id where the
-vocabulary allows, else 4, little-endian), the documents' keys and ends, and the
-block's index. The index takes a key to its document with one displacement, one
-slot and one stored fingerprint, whatever the number of keys.
+A store has two folders of Parquet files that Spark writes and commits. In
+``blocks`` a row is a block: the ids of some documents as one binary payload (2
+bytes an id where the vocabulary allows, else 4, little-endian), the documents' keys
+and ends, and the block's own index. In ``directory`` a row is a bucket of keys, by
+their hash, with a minimal perfect hash to the shard and block of each key. Both
+kinds of index take one displacement, one slot and one stored fingerprint,
+whatever the number of keys.
 """
 
 from __future__ import annotations
@@ -19,13 +21,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pulsegrid.llm.common import mix, slices
+from pulsegrid.llm.common import groups_of, mix, slices
 from pulsegrid.llm.tokens import encoder, with_end
 
 BLOCK_SCHEMA = (
     "shard int, block int, n_docs bigint, n_tokens bigint, width int, min_key bigint, max_key bigint, "
     "keys binary, has_key binary, ends binary, displacements binary, fingerprints binary, places binary, payload binary"
 )
+DIRECTORY_SCHEMA = "bucket bigint, buckets bigint, displacements binary, fingerprints binary, places binary, first binary, last binary"
+# Keys of one bucket of the directory.
+BUCKET_KEYS = 50_000
+# Bytes of a row group, so that a reader skips all but a few blocks.
+GROUP_BYTES = 4 << 20
+# Stretches of blocks that a lookup asks the scan for; beyond that the nearest ones become one.
+STRETCHES = 200
 # Bytes of text behind one block.
 BLOCK_BYTES = 2 << 20
 KEYS_PER_BUCKET = 4
@@ -139,7 +148,56 @@ def write_token_store(
             )
             yield pa.RecordBatch.from_pylist([values], schema=schema)
 
-    placed.mapInArrow(blocks, BLOCK_SCHEMA).write.option("compression", "zstd").parquet(path)
+    _written(placed.mapInArrow(blocks, BLOCK_SCHEMA), f"{path}/blocks")
+    _write_directory(_blocks(docs.sparkSession, path), f"{path}/directory")
+
+
+def _written(df: DataFrame, path: str) -> None:
+    df.write.option("compression", "zstd").option("parquet.block.size", str(GROUP_BYTES)).parquet(path)
+
+
+def _blocks(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks")
+
+
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """By other bits than those that the index of a bucket uses."""
+    return (mix(_hash(keys) + STEP) % np.uint64(buckets)).astype(np.int64)
+
+
+def _write_directory(store: DataFrame, path: str) -> None:
+    """Buckets of keys, each with a perfect hash to the first and last block that hold the key.
+
+    A block gives each of its keys once; keys that many blocks hold are reduced
+    before the shuffle. Blocks are numbered ``shard * 2**32 + block``, in key order.
+    """
+    total = store.agg(F.sum("n_docs")).first()[0] or 0
+    buckets = -(-total // BUCKET_KEYS) or 1
+
+    def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                there = _array(batch, row, "has_key", "u1") > 0
+                keys = np.unique(_array(batch, row, "keys", "<i8")[there])
+                at = (batch.column(0)[row].as_py() << 32) + batch.column(1)[row].as_py()
+                yield pa.record_batch([pa.array(_bucket(keys, buckets)), pa.array(keys), pa.array(np.full(len(keys), at))], names=["bucket", "key", "at"])
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups_of(batches, ["bucket"]):
+            keys, first, last = (group.column(c).to_numpy() for c in ("key", "first", "last"))
+            found = build_index(keys, np.arange(len(keys)))
+            yield pa.record_batch(
+                [
+                    pa.array([group.column("bucket")[0].as_py()], pa.int64()), pa.array([buckets], pa.int64()),
+                    *[pa.array([a.astype(kind).tobytes()], pa.binary()) for a, kind in zip(found, ("<i8", "<u4", "<u4"))],
+                    *[pa.array([a.astype("<i8").tobytes()], pa.binary()) for a in (first, last)],
+                ],
+                names=[c.split()[0] for c in DIRECTORY_SCHEMA.split(", ")],
+            )
+
+    keys = store.select("shard", "block", "keys", "has_key").mapInArrow(keys_of, "bucket bigint, key bigint, at bigint")
+    places = keys.groupBy("bucket", "key").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    _written(places.repartition("bucket").sortWithinPartitions("bucket", "key").mapInArrow(index, DIRECTORY_SCHEMA), path)
 
 
 def _array(batch: pa.RecordBatch, row: int, name: str, kind: str) -> np.ndarray:
@@ -158,7 +216,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     in the index on the way; one that the index does not take to the first
     document of that key raises.
     """
-    store = spark.read.schema(BLOCK_SCHEMA).parquet(path)
+    store = _blocks(spark, path)
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,17 +266,62 @@ def block_starts(store: DataFrame) -> DataFrame:
     )
 
 
+def places(spark: SparkSession, path: str, keys: Sequence[int]) -> DataFrame:
+    """``key, first, last``: the numbers of the first and last block that hold each key, from the buckets of the keys alone.
+
+    A key that is not in the store gives no row, or, where its fingerprint
+    is another key's, a block that does not hold it.
+    """
+    directory = spark.read.schema(DIRECTORY_SCHEMA).parquet(f"{path}/directory")
+    wanted = np.unique(np.asarray(list(keys), np.int64))
+    some = directory.select("buckets").first()
+    buckets = some[0] if some else 1
+    bucket = _bucket(wanted, buckets)
+
+    def find_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                mine = wanted[bucket == batch.column(0)[row].as_py()]
+                place = find(mine, *_index_of(batch, row))
+                first, last = (_array(batch, row, c, "<i8")[place[place >= 0]] for c in ("first", "last"))
+                yield pa.record_batch([pa.array(mine[place >= 0]), pa.array(first), pa.array(last)], names=["key", "first", "last"])
+
+    asked = directory.where(F.col("bucket").isin(np.unique(bucket).tolist()))
+    return asked.mapInArrow(find_keys, "key bigint, first bigint, last bigint")
+
+
+def blocks_with(spark: SparkSession, path: str, keys: Sequence[int]) -> DataFrame:
+    """The blocks to which the directory takes the keys. The caller holds the keys, so their places fit the driver too."""
+    stretches: list[list[int]] = []
+    for first, last in sorted((r["first"], r["last"]) for r in places(spark, path, keys).collect()):
+        if stretches and first <= stretches[-1][1] + 1:
+            stretches[-1][1] = max(stretches[-1][1], last)
+        else:
+            stretches.append([first, last])
+    gaps = sorted(range(1, len(stretches)), key=lambda k: stretches[k][0] - stretches[k - 1][1], reverse=True)
+    edges = [0, *sorted(gaps[: STRETCHES - 1]), len(stretches)]
+    number = F.col("shard").cast("bigint") * (1 << 32) + F.col("block")
+    inside = F.lit(False)
+    for a, b in zip(edges, edges[1:]):
+        if a < b:
+            first, last = stretches[a][0], stretches[b - 1][1]
+            # plain conditions on shard and block reach the scan's statistics
+            near = F.col("shard").between(first >> 32, last >> 32)
+            if first >> 32 == last >> 32:
+                near &= F.col("block").between(first & 0xFFFFFFFF, last & 0xFFFFFFFF)
+            inside |= near & number.between(first, last)
+    return _blocks(spark, path).where(inside)
+
+
 def lookup(spark: SparkSession, path: str, keys: Sequence[int]) -> DataFrame:
     """``key, ids`` of the documents stored under ``keys``, a list that the caller holds.
 
-    Blocks whose key range holds none of the keys are skipped by the scan's
-    statistics; in the others each key takes one step in the index. All documents
-    of a repeated key are returned; unknown keys give no row.
+    The directory's buckets of the keys name the blocks, only those are read, and
+    in each a key takes one step in the block's index. All documents of a repeated
+    key are returned; unknown keys give no row.
     """
     wanted = np.unique(np.asarray(list(keys), np.int64))
-    store = spark.read.schema(BLOCK_SCHEMA).parquet(path)
-    if len(wanted):
-        store = store.where((F.col("max_key") >= int(wanted[0])) & (F.col("min_key") <= int(wanted[-1])))
+    store = blocks_with(spark, path, wanted.tolist())
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -437,6 +437,37 @@ def test_token_store_round_trip(spark, odd, none, monkeypatch):
     assert token_store.read_digests(spark, empty).count() == 0 and token_store.lookup(spark, empty, [1]).count() == 0
 
 
+def test_lookup_reads_the_named_blocks_only(spark, monkeypatch):
+    """Small blocks and buckets: the directory names the block of each key, a key spread over blocks all of its blocks."""
+    monkeypatch.setattr(token_store, "BLOCK_BYTES", 300)
+    monkeypatch.setattr(token_store, "BUCKET_KEYS", 9)
+    draw = random.Random(27)
+    rows = [(draw.choice([7 * i, -i]), sentence(draw, 30)) for i in range(1, 150)] + [(500, sentence(draw, 30)) for _ in range(60)]
+    path = scratch_path(spark, "store")
+    token_store.write_token_store(make(spark, rows), path, tokenizer=VOCABULARY)
+    blocks = token_store._blocks(spark, path)
+    number = {(r["shard"] << 32) + r["block"]: (r["min_key"], r["max_key"]) for r in blocks.select("shard", "block", "min_key", "max_key").collect()}
+    assert len(number) > 100
+    every = sorted({k for k, _ in rows})
+    directory = spark.read.parquet(f"{path}/directory")
+    assert directory.count() > 8
+    slots = [len(r["fingerprints"]) // 4 for r in directory.collect()]
+    assert sum(slots) == len(every)
+    got = {r["key"]: (r["first"], r["last"]) for r in token_store.places(spark, path, every).collect()}
+    for k in every:
+        held = [n for n, (low, high) in number.items() if low <= k <= high]
+        assert got[k] == (min(held), max(held))
+    for keys in ([every[0], every[-1]], [500], [every[3]], [123456], []):
+        held = [n for n, (low, high) in number.items() if any(low <= k <= high for k in keys if k in every)]
+        assert token_store.blocks_with(spark, path, keys).count() in (len(held), len(held) + (keys == [123456]))
+        found = Counter((r["key"], tuple(r["ids"])) for r in token_store.lookup(spark, path, keys).collect())
+        asked = [(k, t) for k, t in rows if k in keys]
+        assert found == Counter((k, tuple(i.tolist())) for (k, _), i in zip(asked, coded([t for _, t in asked]) if asked else []))
+    monkeypatch.setattr(token_store, "STRETCHES", 3)
+    found = Counter(r["key"] for r in token_store.lookup(spark, path, every[::9]).collect())
+    assert found == Counter(k for k, _ in rows if k in every[::9])
+
+
 # 10: exact duplicates
 
 
