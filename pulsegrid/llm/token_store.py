@@ -38,7 +38,7 @@ STRETCHES = 200
 # Bytes of text behind one block.
 BLOCK_BYTES = 2 << 20
 KEYS_PER_BUCKET = 4
-TRIALS = 32
+TRIALS = 2048
 STEP = np.uint64(0xD1B54A32D192ED03)
 
 
@@ -58,8 +58,8 @@ def build_index(keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.nd
     """Hash and displace: ``n`` distinct keys to ``n`` slots, each taken once.
 
     Returns a displacement per bucket, and per slot the key's fingerprint and
-    its place. Buckets are settled from the largest down; a bucket of one key
-    takes a free slot by its number, kept as ``-1 - slot``.
+    its place. Buckets are settled from the largest down, those of one size side
+    by side; a bucket of one key takes a free slot by its number, kept as ``-1 - slot``.
     """
     n = len(keys)
     buckets = max(1, -(-n // KEYS_PER_BUCKET))
@@ -71,22 +71,29 @@ def build_index(keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.nd
     order = np.argsort(bucket, kind="stable")
     sizes = np.bincount(bucket, minlength=buckets)
     begin = np.concatenate(([0], np.cumsum(sizes)))
-    for b in np.argsort(-sizes, kind="stable"):
-        members = order[begin[b] : begin[b + 1]]
-        if len(members) < 2:
-            break
-        trial = 0
-        while True:
-            d = np.arange(trial, trial + TRIALS)
-            s = _slot(h[members][None, :], d[:, None], n)
-            ranked = np.sort(s, axis=1)
-            good = np.flatnonzero(free[s].all(axis=1) & (ranked[:, 1:] != ranked[:, :-1]).all(axis=1))
-            if len(good):
-                displacements[b] = d[good[0]]
-                slots[members] = s[good[0]]
-                free[s[good[0]]] = False
-                break
-            trial += TRIALS
+    for size in range(int(sizes.max(initial=0)), 1, -1):
+        open_ = np.flatnonzero(sizes == size)
+        members = order[begin[open_][:, None] + np.arange(size)]
+        trial = np.zeros(len(open_), np.int64)
+        while len(open_):
+            tried = trial[:, None] + np.arange(max(TRIALS // len(open_), 1))
+            s = _slot(h[members][:, None, :], tried[:, :, None], n)
+            ranked = np.sort(s, axis=2)
+            good = free[s].all(axis=2) & (ranked[:, :, 1:] != ranked[:, :, :-1]).all(axis=2)
+            some, at = good.any(axis=1), good.argmax(axis=1)
+            able = np.flatnonzero(some)
+            asked = s[able, at[able]]
+            # of buckets that ask for one slot the first has it, the others try on
+            _, first, slot = np.unique(asked, return_index=True, return_inverse=True)
+            wins = (first[slot].reshape(asked.shape) // size == np.arange(len(able))[:, None]).all(axis=1)
+            won = able[wins]
+            displacements[open_[won]] = tried[won, at[won]]
+            slots[members[won]] = asked[wins]
+            free[asked[wins]] = False
+            trial = np.where(some, tried[np.arange(len(open_)), at], trial + tried.shape[1])
+            left = np.ones(len(open_), bool)
+            left[won] = False
+            open_, members, trial = open_[left], members[left], trial[left]
     single = np.flatnonzero(sizes == 1)
     left = np.flatnonzero(free)
     displacements[single] = -1 - left
