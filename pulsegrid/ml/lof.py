@@ -16,7 +16,8 @@ from pulsegrid.session import freeze
 
 def _scores(points: DataFrame, found: DataFrame, k: int) -> DataFrame:
     """``(uid, score)`` with score = -LOF, from the neighbour table of at least k neighbours."""
-    near = weighted_neighbours(points, found, k)
+    # read for the distances, the densities and their means
+    near = freeze(weighted_neighbours(points, found, k))
     k_distance = near.groupBy("uid").agg(F.max("dist").alias("kd"))
     reach = near.join(k_distance.select(F.col("uid").alias("v"), "kd"), "v").withColumn(
         "reach", F.greatest("kd", "dist")
@@ -58,7 +59,7 @@ def lof_sweep(
 ) -> DataFrame:
     """Anomalies and mean scores for several k. The neighbours are searched once, for the largest."""
     points = _points(df, row_id, features)
-    found = freeze(nearest(points, max(ks)))
+    found = nearest(points, max(ks))
     rows = []
     for k in ks:
         scored = freeze(_attach(df, features, points, _scores(points, found, k)).select("score"))
@@ -79,7 +80,7 @@ def k_distances(df: DataFrame, row_id: str, features: Sequence[str], k: int) ->
     """Distance of each row to its k-th neighbour, the row itself being the first."""
     points = _points(df, row_id, features)
     near = weighted_neighbours(points, nearest(points, k), k, count_self=True)
-    kd = near.groupBy("uid").agg(F.max("dist").alias("k_distance"))
+    kd = freeze(near.groupBy("uid").agg(F.max("dist").alias("k_distance")))
     return _attach(df, features, points, kd)
 
 

@@ -55,6 +55,31 @@ def test_nearest_equals_all_pairs_and_looks_into_few_leaves(spark, small_leaves)
     assert depth >= 3 and leaves > 80 and visited[0] < leaves / 8
 
 
+def test_points_without_structure_meet_in_blocks(spark, small_leaves):
+    x = np.random.default_rng(6).normal(size=(900, 24))
+    df, cols = points(spark, x)
+    found, asked = knn.search(knn.fold_points(df, "id", cols), 7)
+    # no row per point and leaf
+    assert asked.count() == len(x)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["uid"], set()).add(r["v"])
+    assert got == {i: set(np.argsort(d[i], kind="stable")[:7].tolist()) for i in range(len(x))}
+
+
+def test_nearest_far_from_the_origin_and_at_equal_distances():
+    rng = np.random.default_rng(8)
+    x = 1e6 + rng.integers(0, 6, (700, 3)).astype(float)
+    ids, bound = rng.permutation(700), np.full(700, np.inf)
+    row, col, dist = knn._first_k(x, x, ids, ids, bound, 5)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    for i in range(700):
+        want = sorted((d[i, j], ids[j]) for j in range(700) if j != i)[:5]
+        assert [(a, ids[b]) for a, b in zip(dist[row == i], col[row == i])] == want
+
+
 def test_pairs_within_a_radius(spark, small_leaves):
     x = clustered(900, 12, 5)
     df, cols = points(spark, x)
