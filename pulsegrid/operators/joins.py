@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -88,15 +88,16 @@ def missing_dates(df: DataFrame, user: str, day: str) -> DataFrame:
     """Days between the first and last observed day of a user without any row.
 
     Observed days are reduced to distinct days first, so a user contributes at
-    most one row per calendar day.
+    most one row per calendar day. The days of a gap are listed where its two ends
+    meet, so only observed days are moved. Days of a NULL user count as not observed.
     """
+    one = F.expr("interval 1 day")
     seen = df.where(F.col(day).isNotNull()).select(user, day).distinct()
-    spine = (
-        seen.groupBy(user)
-        .agg(F.min(day).alias("__lo"), F.max(day).alias("__hi"))
-        .select(user, F.explode(F.sequence("__lo", "__hi", F.expr("interval 1 day"))).alias(day))
-    )
-    return spine.join(seen, [user, day], "left_anti")
+    ends = seen.withColumn("__next", F.lead(day).over(Window.partitionBy(user).orderBy(day)))
+    last = F.col("__next") - one
+    gap = F.when(F.col("__next") > F.col(day) + one, F.sequence(F.col(day) + one, last, one))
+    unknown = F.sequence(F.col(day), F.coalesce(last, day), one)
+    return ends.select(user, F.explode(F.when(F.col(user).isNull(), unknown).otherwise(gap)).alias(day))
 
 
 def group_mean(df: DataFrame, keys: Sequence[str], cols: Mapping[str, str]) -> DataFrame:

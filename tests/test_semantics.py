@@ -175,6 +175,16 @@ def test_streaks_and_gaps_over_a_month_end(spark):
     assert (s["total_days"], s["missing_days"], s["days_with_multiple_responses"], s["max_responses_per_day"], s["band"]) == (9, 4, 1, 2, "FAIR")
 
 
+def test_missing_days_are_listed_without_a_join(spark):
+    rows = [(1, "2024-02-27"), (1, "2024-03-02"), (1, "2024-03-02"), (2, "2024-01-01"), (None, "2024-05-01"), (None, "2024-05-03"), (1, None)]
+    df = spark.createDataFrame([(u, x and dt.date.fromisoformat(x)) for u, x in rows], "u int, d date")
+    found = missing_dates(df, "u", "d")
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted((r["u"] or 0, r["d"].isoformat()) for r in found.collect())
+    # no day of a NULL user counts as observed
+    assert got == [(0, "2024-05-01"), (0, "2024-05-02"), (0, "2024-05-03"), (1, "2024-02-28"), (1, "2024-02-29"), (1, "2024-03-01")]
+
+
 def test_sequences_need_enough_rows(spark):
     df = spark.createDataFrame([("a", i, float(i)) for i in range(4)] + [("b", 1, 1.0), ("b", 2, None)], "u string, t int, v double")
     out = sequences.sliding_sequences(df, ["u"], ["t"], ["v"], "v", 3).orderBy("t").collect()
