@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -15,8 +16,10 @@ from pulsegrid.plans.ordered import position, windowed
 from pulsegrid.session import freeze
 
 MAX_CLUSTERS = 10_000
-# Rows of one side of a task that sums up distances between rows.
-PAIR_BLOCK = 1_024
+# Rows of one side of a task that sums up distances between rows: at least, at most.
+PAIR_BLOCK, MAX_PAIR_BLOCK = 1_024, 32_768
+BLOCK_SUMS = 4_000_000  # sums of one block's rows by the other's clusters, with clusters of the mean size
+MATRIX = 500_000  # distances that are worked on at once
 
 
 def best_kmeans(df: DataFrame, k: int, starts: int = 20, seed: int = 42) -> KMeansFit:
@@ -34,22 +37,28 @@ def sweep_k(df: DataFrame, ks: Sequence[int] = range(2, 11), starts: int = 20, s
 def silhouette(df: DataFrame, cluster: str, features: Sequence[str]) -> DataFrame:
     """``clusters, rows, silhouette``: the exact Euclidean silhouette over all pairs of rows, whatever the clusters' sizes.
 
-    Rows in the order of their clusters are cut into blocks, and each pair of blocks
-    is one task that hands on, for the rows of both sides, their summed distances
-    to each cluster of the other. No pairs are written, a large cluster is many
-    blocks and many small ones share one. A row that is alone in its cluster counts
-    0. Rows with a NULL cluster or feature take no part; fewer than two clusters
-    give NULL.
+    Equal rows of a cluster are folded first. Rows in the order of their clusters are
+    cut into blocks, some pairs of blocks for every core and none larger than a task
+    can keep, and each pair is one task that hands on, for the rows of both sides,
+    their summed distances to each cluster of the other. No pairs are written, a large
+    cluster is many blocks and many small ones share one. The work is quadratic in the
+    distinct rows. A row that is alone in its cluster counts 0. Rows with a NULL cluster
+    or feature take no part; fewer than two clusters give NULL.
     """
     x = F.array(*[F.col(f"`{c}`").cast("double") for c in features])
     rows = df.select(F.col(f"`{cluster}`").alias("k"), x.alias("x")).where(F.col("k").isNotNull() & ~F.exists("x", lambda v: v.isNull()))
-    # which of two equal rows comes first makes no difference
-    numbered = freeze(position(rows, [], [F.col("k"), F.col("x")], "id").withColumn("id", F.col("id") - 1))
-    sizes = freeze(numbered.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("first")))
-    n = sizes.agg(F.sum("n")).first()[0] or 0
-    blocks = max(1, -(-n // PAIR_BLOCK))
+    folded = freeze(rows.groupBy("k", "x").agg(F.count("*").alias("m")))
+    numbered = freeze(position(folded, [], [F.col("k"), F.col("x")], "id").withColumn("id", F.col("id") - 1))
+    sizes = freeze(numbered.groupBy("k").agg(F.sum("m").alias("n"), F.count("*").alias("points"), F.min("id").alias("first")))
+    n, clusters = sizes.agg(F.sum("points"), F.count("*")).first()
+    n = n or 0
+    # one half of the pairs of blocks, and sums of a block's rows by another's clusters that a task can keep
+    wanted = -(-n // math.ceil(math.sqrt(8 * df.sparkSession.sparkContext.defaultParallelism)))
+    block = min(MAX_PAIR_BLOCK, math.isqrt(BLOCK_SUMS * n // max(1, clusters)), max(PAIR_BLOCK, wanted))
+    block = max(PAIR_BLOCK, block)
+    blocks = max(1, -(-n // block))
     # a cluster is named by the number of its first row
-    named = numbered.join(sizes, "k").select("id", F.col("first").alias("c"), "x", F.floor(F.col("id") / PAIR_BLOCK).alias("own"))
+    named = numbered.join(sizes.select("k", "first"), "k").select("id", F.col("first").alias("c"), "x", "m", F.floor(F.col("id") / block).alias("own"))
     # each pair of blocks once: (i, j) with i <= j
     ahead = named.withColumn("i", F.col("own")).withColumn("j", F.explode(F.sequence("own", F.lit(blocks - 1).cast("bigint"))))
     behind = named.select(*[F.col(c).alias(c) for c in named.columns]).withColumn("j", F.col("own"))
@@ -60,14 +69,26 @@ def silhouette(df: DataFrame, cluster: str, features: Sequence[str]) -> DataFram
         if a.num_rows and b.num_rows:
             a, b = a.sort_by("id"), b.sort_by("id")
             u, v = (t["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1) for t in (a, b))
-            d = np.zeros((len(u), len(v)))
-            for f in range(u.shape[1]):
-                d += (u[:, f, None] - v[None, :, f]) ** 2
-            np.sqrt(d, out=d)
-            sides = [(a, b, d)] if key[0].as_py() == key[1].as_py() else [(a, b, d), (b, a, d.T)]
-            for of, to, dist in sides:
-                c, start = np.unique(to["c"].to_numpy(), return_index=True)
-                s = np.add.reduceat(dist, start, axis=1)
+            (cu, at_u), (cv, at_v) = (np.unique(t["c"].to_numpy(), return_index=True) for t in (a, b))
+            mu, mv = (t["m"].to_numpy().astype(float) for t in (a, b))
+            same = key[0].as_py() == key[1].as_py()
+            to_v, to_u = np.zeros((len(u), len(cv))), np.zeros((0 if same else len(v), len(cu)))
+            # a matrix of some rows of one side at a time
+            step = max(1, MATRIX // len(v))
+            for lo in range(0, len(u), step):
+                hi = min(lo + step, len(u))
+                d = np.zeros((hi - lo, len(v)))
+                for f in range(u.shape[1]):
+                    d += (u[lo:hi, f, None] - v[None, :, f]) ** 2
+                np.sqrt(d, out=d)
+                if not same:
+                    # the clusters that these rows belong to
+                    p, q = np.searchsorted(at_u, lo, "right") - 1, np.searchsorted(at_u, hi, "left")
+                    start = np.maximum(at_u[p:q] - lo, 0)
+                    to_u[:, p:q] += np.add.reduceat(d * mu[lo:hi, None], start, axis=0).T
+                d *= mv
+                to_v[lo:hi] = np.add.reduceat(d, at_v, axis=1)
+            for of, c, s in [(a, cv, to_v)] if same else [(a, cv, to_v), (b, cu, to_u)]:
                 out.append(pa.table({"id": np.repeat(of["id"].to_numpy(), len(c)), "c": np.tile(c, of.num_rows), "s": s.ravel()}))
         return pa.concat_tables(out)
 
@@ -75,13 +96,15 @@ def silhouette(df: DataFrame, cluster: str, features: Sequence[str]) -> DataFram
     met = ahead.groupBy("i", "j").cogroup(behind.groupBy("i", "j")).applyInArrow(sums, "id bigint, c bigint, s double")
     away = met.groupBy("id", "c").agg(F.sum("s").alias("s"))
     facts = sizes.select(F.col("first").alias("c"), "n")
-    per_row = away.join(facts, "c").join(named.select("id", F.col("c").alias("k")), "id")
+    per_row = away.join(facts, "c").join(named.select("id", F.col("c").alias("k"), "m"), "id")
     mine = F.col("c") == F.col("k")
-    means = per_row.groupBy("id").agg(
+    means = per_row.groupBy("id", "m").agg(
         F.max(F.when(mine & (F.col("n") > 1), F.col("s") / (F.col("n") - 1))).alias("a"), F.min(F.when(~mine, F.col("s") / F.col("n"))).alias("b")
     )
     value = F.when(F.col("b").isNotNull(), F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
-    whole = means.agg(F.avg(value).alias("silhouette"))
+    # without a value the row does not count, as in a mean
+    counted = F.sum(F.when(value.isNotNull(), F.col("m")))
+    whole = means.agg(F.try_divide(F.sum(value * F.col("m")), counted).alias("silhouette"))
     # two single rows
     return sizes.agg(F.count("*").alias("clusters"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).crossJoin(whole)
 
