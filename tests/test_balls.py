@@ -109,6 +109,25 @@ def test_dbscan_in_many_features(spark, small_leaves):
     assert (got == brute_dbscan(x, 1.6, 4)).all() and len(set(got)) > 5
 
 
+def test_links_leave_a_task_as_a_forest():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(0, 1, (300, 5)), rng.normal(30, 1, (200, 5))])
+    side = pa.table({"x": pa.array(x.tolist(), pa.list_(pa.float64())), "m": np.arange(500) // 2})
+    links = dbscan._forest(side, side, 2.5).to_pylist()
+    close = ((x[:, None] - x[None]) ** 2).sum(2) <= 2.5**2
+    parts = [{k} for k in range(250)]
+    for pairs in ([(i // 2, j // 2) for i, j in zip(*np.nonzero(close))], [(p["u"], p["v"]) for p in links]):
+        own = list(range(250))
+        for u, v in pairs:
+            if own[u] != own[v]:
+                a, b = sorted((own[u], own[v]))
+                own = [a if o == b else o for o in own]
+        parts.append(own)
+    assert parts[-1] == parts[-2] and len(links) < 250 < close.sum()
+
+
 def test_rows_without_all_features_have_no_score(spark):
     df, cols = points(spark, clustered(200, 4, 2))
     holes = df.withColumn("f0", F.when(F.col("id") % 20 != 0, F.col("f0"))).withColumn("f1", F.when(F.col("id") % 20 == 1, float("nan")).otherwise(F.col("f1")))
@@ -265,3 +284,21 @@ def test_fourier_features_estimate_the_kernel():
     x, y = draw.normal(size=3), draw.normal(size=3)
     z = [np.sqrt(2 / 20_000) * np.cos(made.directions @ v + made.offsets) for v in (x, y)]
     assert z[0] @ z[1] == pytest.approx(np.exp(-0.4 * ((x - y) ** 2).sum()), abs=0.03)
+
+
+def test_copies_meet_once_in_a_silhouette(spark):
+    x = np.random.default_rng(12).normal(size=(60, 2))
+    k = np.arange(60) % 3
+    df, cols = points(spark, np.repeat(x, 4, axis=0))
+    df = df.withColumn("k", F.element_at(F.array(*[F.lit(int(v)) for v in np.repeat(k, 4)]), (F.col("id") + 1).cast("int")))
+    got = cluster.silhouette(df, "k", cols).first()
+    assert got["rows"] == 240 and got["silhouette"] == pytest.approx(plain_silhouette(np.repeat(x, 4, axis=0), np.repeat(k, 4)), rel=1e-9)
+
+
+def test_trees_grow_on_even_partitions(spark, monkeypatch):
+    monkeypatch.setattr(classify, "TREE_ROWS", 100)
+    df = spark.range(1000).coalesce(1)
+    sizes = [r["count"] for r in classify._spread(df).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 1000 and max(sizes) <= 110
+    even = spark.range(0, 1000, 1, 10)
+    assert classify._spread(even) is even
