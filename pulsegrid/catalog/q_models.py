@@ -31,15 +31,16 @@ def order_features(spark, d):
 
 def training(spark, d, classes: int = 3):
     """Features scaled with training statistics, label and split, written once for the fits that follow."""
-    data = order_features(spark, d)
     # a price that depends on the features, so that there is something to learn
     target = F.col("price") + F.col("o_totalprice") / 4
-    data = data.withColumn("target", target)
+    # read for the cuts, the split and the scales, so the join is done once
+    data = freeze(order_features(spark, d).withColumn("target", target))
     if classes == 3:
         data = data.withColumn("label", tf.three_classes(F.col("target"), tf.tercile_cuts(data, "target", 0.33, 0.67)))
     else:
         data = tf.binary_drop_middle(data, "target", "label", tf.tercile_cuts(data, "target", 0.33, 0.67), strict=True)
-    data = random_split(data, "o_orderkey", "label")
+    # read for the scales and the result
+    data = freeze(random_split(data, "o_orderkey", "label"))
     scaled = tf.zscore(data, FEATURES, "_z", fit_on=data.where("split = 'train'"))
     out = classify.assemble(scaled, [f"{c}_z" for c in FEATURES])
     return freeze(out.select("o_orderkey", "label", "split", "target", classify.VECTOR))
