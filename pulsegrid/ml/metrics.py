@@ -147,22 +147,33 @@ def roc_table(df: DataFrame, label: str, scores: Mapping[int, str]) -> DataFrame
 
 def macro_roc(df: DataFrame, label: str, scores: Mapping[int, str]) -> DataFrame:
     """Mean curve: at every false positive rate of any class the mean of the linearly interpolated
-    true positive rates. At a vertical step the upper end counts."""
-    points = roc_table(df, label, scores).where("curve <> 'micro'")
-    ends = points.groupBy("curve", "fpr").agg(F.min("tpr").alias("lo"), F.max("tpr").alias("hi"))
-    # every class needs a value at every rate of any class
-    grid = points.select("fpr").distinct()
-    wanted = grid.select("fpr", F.explode(_literals([str(k) for k in scores])).alias("curve"))
-    line = wanted.join(ends, ["curve", "fpr"], "left").withColumn(
-        "known", F.when(F.col("hi").isNotNull(), F.struct("fpr", "lo", "hi"))
-    )
-    near = neighbours(line, ["curve"], [F.col("fpr")], {"known": ("before", "after")})
-    before, after = F.col("before"), F.col("after")
-    slope = F.try_divide(after["lo"] - before["hi"], after["fpr"] - before["fpr"])
-    value = F.when(before["fpr"] == F.col("fpr"), before["hi"]).otherwise(
-        before["hi"] + slope * (F.col("fpr") - before["fpr"])
+    true positive rates. At a vertical step the upper end counts.
+
+    One row per rate carries the ends of the steps of all classes, so that a single
+    pass in order of the rates finds the points around each of them for every class.
+    """
+    long = one_vs_rest(df, label, scores)
+    origin = long.select("class").distinct().select("class", F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    points = roc_curve_points(long).select("class", "fpr", "tpr").unionByName(origin)
+    fpr, classes = F.col("fpr"), range(len(scores))
+    ends = []
+    for i, k in enumerate(scores):
+        own = F.when(F.col("class") == k, F.col("tpr"))
+        ends += [F.min(own).alias(f"lo{i}"), F.max(own).alias(f"hi{i}")]
+    # every class needs a value at every rate of any class; a rate that is no number has none
+    line = points.groupBy("fpr").agg(*ends).select(
+        "fpr", *[F.when(F.col(f"hi{i}").isNotNull() & fpr.isNotNull(), F.struct("fpr", f"lo{i}", f"hi{i}")).alias(f"known{i}") for i in classes]
     )
-    return near.select("fpr", value.alias("tpr")).groupBy("fpr").agg(F.avg("tpr").alias("tpr"))
+    near = neighbours(freeze(line), [], [fpr], {f"known{i}": (f"before{i}", f"after{i}") for i in classes})
+
+    def value(i: int) -> Column:
+        before, after, hi = F.col(f"before{i}"), F.col(f"after{i}"), F.col(f"before{i}")[f"hi{i}"]
+        slope = F.try_divide(after[f"lo{i}"] - hi, after["fpr"] - before["fpr"])
+        return F.when(before["fpr"] == fpr, hi).otherwise(hi + slope * (fpr - before["fpr"]))
+
+    values = [value(i) for i in classes]
+    total = sum((F.coalesce(v, F.lit(0.0)) for v in values), F.lit(0.0))
+    return near.select("fpr", F.try_divide(total, sum((v.isNotNull().cast("int") for v in values), F.lit(0))).alias("tpr"))
 
 
 def regression_metrics(df: DataFrame, truth: str, prediction: str, by: Sequence[str] = ()) -> DataFrame:

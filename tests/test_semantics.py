@@ -341,3 +341,46 @@ def test_consolidated_downloads(spark, tmp_path):
     put("9", "a", activity, "activity_level_1.csv", "timestamp,level\n2024-01-03T08:00:00Z,LOW\n2024-01-03T08:00:00Z,HIGH\n")
     nine = consolidate_downloads(spark, str(tmp_path)).where("user = '9'").collect()
     assert [r["activity_level_level"] for r in nine] == ["HIGH"]
+
+
+def _plain_macro_roc(rows, classes):
+    """The mean curve by going over every rate and class; rows are (label, scores)."""
+    curves, rates = [], set()
+    for k in classes:
+        pos, neg = sum(y == k for y, _ in rows), sum(y != k for y, _ in rows)
+        at = {0.0: [0.0]}
+        for cut in {s[k] for _, s in rows}:
+            fp, tp = (sum(s[k] >= cut and (y == k) == side for y, s in rows) for side in (False, True))
+            at.setdefault(fp / neg if neg else None, []).append(tp / pos if pos else None)
+        rates |= set(at)
+        known = {f: [t for t in ts if t is not None] for f, ts in at.items() if f is not None}
+        curves.append({f: (min(ts), max(ts)) for f, ts in known.items() if ts})
+    out = {}
+    for f in rates:
+        values = []
+        for c in curves if f is not None else []:
+            f0, f1 = max(x for x in c if x <= f), min((x for x in c if x >= f), default=None)
+            if f0 == f:
+                values.append(c[f][1])
+            elif f1 is not None:
+                values.append(c[f0][1] + (c[f1][0] - c[f0][1]) / (f1 - f0) * (f - f0))
+        out[f] = sum(values) / len(values) if values else None
+    return out
+
+
+# the last two: a class without positives, and one without negatives
+@pytest.mark.parametrize("labels", [[0, 1, 2], [0, 1, 1], [1, 1, 1]])
+def test_macro_roc_takes_one_row_per_rate_and_no_other_curve(spark, small_groups, monkeypatch, labels):
+    seen = []
+    for name in ("roc_curve_points", "neighbours"):
+        monkeypatch.setattr(metrics, name, lambda df, *a, f=getattr(metrics, name), name=name: seen.append((name, df, a)) or f(df, *a))
+    rows = [(labels[(i * i) % 3 if i % 5 else i % 3], [i * 7 % 11 / 11, i * 5 % 13 / 13, i % 4 / 4]) for i in range(60)]
+    df = spark.createDataFrame([(y, *s) for y, s in rows], "label int, p0 double, p1 double, p2 double")
+    got = {r["fpr"]: r["tpr"] for r in metrics.macro_roc(df, "label", {0: "p0", 1: "p1", 2: "p2"}).collect()}
+    want = _plain_macro_roc(rows, [0, 1, 2])
+    assert set(got) == set(want)
+    for f, t in want.items():
+        assert got[f] == (None if t is None else pytest.approx(t, abs=1e-12))
+    # the curve of all classes together is not part of the mean, and rates do not meet classes in a join
+    assert [(n, a[:1]) for n, _, a in seen] == [("roc_curve_points", ()), ("neighbours", ([],))]
+    assert seen[1][1].count() == len(want)
