@@ -89,11 +89,15 @@ def fit_logistic(train: DataFrame, label: str, weight: str | None = None, C: flo
     return Fitted("logistic", _spark_score(model), [model])
 
 
-def _spread(train: DataFrame) -> DataFrame:
-    """``train`` in even partitions if one of them holds more rows than a task should keep while trees grow."""
+def _spread(train: DataFrame, rows: int | None = None, waves_of: int = 1) -> DataFrame:
+    """``train`` in even partitions if one of them holds more than ``rows``: what a task should keep while trees grow.
+
+    Their number is a multiple of ``waves_of``.
+    """
+    limit = TREE_ROWS if rows is None else rows
     sizes = train.groupBy(F.spark_partition_id().alias("__p")).count()
     largest, total = sizes.agg(F.max("count"), F.sum("count")).first()
-    return train.repartition(-(-total // TREE_ROWS)) if (largest or 0) > TREE_ROWS else train
+    return train.repartition(-(-total // (limit * waves_of)) * waves_of) if (largest or 0) > limit else train
 
 
 def fit_forest(train: DataFrame, label: str, weight: str | None = None, **params) -> Fitted:

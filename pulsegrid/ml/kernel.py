@@ -12,11 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsegrid.ml.classify import PRED, PROB, SEED, VECTOR, Fitted, _argmax
+from pulsegrid.ml.classify import PRED, PROB, SEED, VECTOR, Fitted, _argmax, _spread
 from pulsegrid.ml.kmeans import as_array
 from pulsegrid.session import freeze
 
 MAPPED, MARGIN = "__mapped", "__margin"
+# Mapped values that one task holds; a partition with more rows than that takes is cut.
+TASK_VALUES = 16_000_000
 
 
 @dataclass
@@ -104,13 +106,16 @@ def fit_kernel_margin(
 ) -> Fitted:
     """A support vector classifier with (nearly) a radial kernel and probabilities, one against the rest per class.
 
-    The mapped training rows are written once for all classes. With ``components``
-    directions a kernel value is met to about ``1 / sqrt(components)``.
+    The training rows are written once, as they are; the map, many times as wide, is drawn
+    anew for each read, which costs less than to write and read it. A row is small and its
+    map is not, so rows are dealt to even partitions by the size of the map. With
+    ``components`` directions a kernel value is met to about ``1 / sqrt(components)``.
     """
+    even = {"rows": max(1, TASK_VALUES // components), "waves_of": train.sparkSession.sparkContext.defaultParallelism}
     width = train.select(F.size(as_array(train, VECTOR)).alias("d")).first()["d"]
     features = FourierMap.drawn(width, gamma if gamma is not None else scale_gamma(train), components, seed)
-    rows = train.select(F.col(label).cast("int").alias("__y"), features(as_array(train, VECTOR)).alias("__z"))
-    rows = freeze(rows).select("__y", array_to_vector("__z").alias(MAPPED))
+    rows = _spread(freeze(train.select(F.col(label).cast("int").alias("__y"), as_array(train, VECTOR).alias("__x"))), **even)
+    rows = rows.select("__y", array_to_vector(features(F.col("__x"))).alias(MAPPED))
     models, slopes = [], []
     for k in [1] if classes == 2 else range(classes):
         is_k = F.col("__y") == k
@@ -121,6 +126,7 @@ def fit_kernel_margin(
         slopes.append(platt(margins, MARGIN, F.col("__is")))
 
     def score(df: DataFrame) -> DataFrame:
+        df = _spread(df, **even)
         out = df.withColumn(MAPPED, array_to_vector(features(as_array(df, VECTOR))))
         for i, (model, (a, b)) in enumerate(zip(models, slopes)):
             out = model.transform(out).withColumn(f"__p{i}", 1 / (1 + F.exp(vector_to_array("__raw")[1] * a + b))).drop("__raw", "__pred")

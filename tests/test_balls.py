@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.ml import classify, cluster, dbscan, iforest, kernel, kmeans, lof
 from pulsegrid.plans import knn, sample
+from pulsegrid.session import freeze
 
 
 def clustered(n=3000, groups=25, width=6, seed=3):
@@ -267,6 +268,21 @@ def test_kernel_margin_tells_a_ring_from_its_middle(spark):
     assert np.allclose(prob["prob"].str[0] + prob["prob"].str[1], 1) and prob.groupby("label")["prob"].apply(lambda p: p.str[1].mean()).diff()[1] > 0.7
 
 
+def test_kernel_margin_writes_no_mapped_rows_and_maps_on_even_partitions(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(kernel, "TASK_VALUES", 32 * 100)
+    monkeypatch.setattr(kernel, "freeze", lambda df: written.append(df) or freeze(df))
+    x = np.random.default_rng(8).normal(size=(1000, 2))
+    rows = [(i, int(v @ v < 1.3), Vectors.dense(v)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, ["id", "label", classify.VECTOR]).coalesce(1)
+    out = kernel.fit_kernel_margin(df, "label", components=32, gamma=1.0, regParam=1e-4, maxIter=20).score(df)
+    # the rows as they are (two values each) and their margins; no row of 32 values
+    assert len(written) == 2 and max(len(r["__x"]) for r in written[0].select("__x").collect()) == 2
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 1000 and max(sizes) <= 110
+    assert out.select("id").distinct().count() == 1000 and out.where("prediction = label").count() >= 900
+
+
 def test_platt_meets_a_known_logistic_curve(spark):
     draw = np.random.default_rng(6)
     f = draw.normal(0, 2, 20_000)
