@@ -109,6 +109,33 @@ def test_dbscan_in_many_features(spark, small_leaves):
     got = dbscan.dbscan(df, "id", cols, 1.6, 4).toPandas().sort_values("id")["cluster"].to_numpy()
     assert (got == brute_dbscan(x, 1.6, 4)).all() and len(set(got)) > 5
 
+def test_dbscan_searches_share_a_tree_and_few_points_need_none(spark, small_leaves, monkeypatch):
+    from test_learning import brute_dbscan
+
+    built, build = [], knn.build
+    monkeypatch.setattr(dbscan, "build", lambda *a: built.append(1) or build(*a), raising=False)
+    monkeypatch.setattr(knn, "build", lambda *a: built.append(1) or build(*a))
+    tight = np.round(np.random.default_rng(12).uniform(0.1, 0.3, (900, 5)), 6)
+    # one full cell with a few points around it; as many points that look for others as there are
+    for x, trees in ((np.vstack([tight, tight[:3] + 0.65, tight[:2] + 20]), 0), (clustered(1500, 30, 5, 4), 1)):
+        built.clear()
+        df, cols = points(spark, x)
+        got = dbscan.dbscan(df, "id", cols, 1.6, 4).toPandas().sort_values("id")["cluster"].to_numpy()
+        assert (got == brute_dbscan(x, 1.6, 4)).all() and len(set(got)) > 1
+        assert len(built) == trees
+
+
+def test_dbscan_of_figures_that_come_out_otherwise_each_time(spark):
+    import random
+
+    # as averages do whose rows arrive in another order
+    shaken = F.udf(lambda v: v + random.uniform(0, 1e-9), "double").asNondeterministic()
+    cols = [f"f{i}" for i in range(5)]
+    for names in (cols[:2], cols):
+        df = spark.range(60).select("id", *[shaken((F.col("id") % 3).cast("double")).alias(c) for c in names])
+        got = {r["id"]: r["cluster"] for r in dbscan.dbscan(df, "id", names, 0.5, 5).collect()}
+        assert got == {i: i % 3 for i in range(60)}
+
 
 def test_links_leave_a_task_as_a_forest():
     import pyarrow as pa
