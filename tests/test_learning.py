@@ -237,3 +237,37 @@ def test_dbscan_group_named_like_internals_and_null_groups(spark):
 
     got = {r["id"]: r["cluster"] for r in dbscan(df, "id", names, 1.0, 5, by=["rows"]).collect()}
     assert got == {r[0]: -1 if r[0] % 100 == 99 else r[0] % 100 % 2 for r in rows}
+
+
+def test_experiment_grid_fits_whole_models(spark, monkeypatch, tmp_path):
+    from pulsegrid.catalog import q_checks
+    from pulsegrid.ml import grid
+
+    n, day = 40, pd.Timestamp("2024-01-01")
+    orders = pd.DataFrame({"o_orderkey": range(n), "o_totalprice": 1000.0, "o_orderdate": day})
+    lines = pd.DataFrame({"l_orderkey": [k for k in range(n) for _ in range(1 + k % 7)], "l_quantity": 3.0, "l_extendedprice": 40_000.0, "l_discount": 0.1, "l_tax": 0.02, "l_shipdate": day})
+    for name, rows in (("orders", orders), ("lineitem", lines)):
+        spark.createDataFrame(rows).write.parquet(str(tmp_path / f"{name}.parquet"))
+
+    class Ended(Exception):
+        pass
+
+    asked, goes = [], []
+
+    def record(*a, **params):
+        asked.append(params)
+
+    def run_grid(rows, path, *, models, **settings):
+        goes.append((rows.count(), sorted(models)))
+        if len(goes) == 2:
+            for name in ("boosted", "forest_binary", "forest_window", "logistic"):
+                models[name].fit(rows, "label", None, 2)
+            raise Ended
+
+    monkeypatch.setattr(grid, "run_grid", run_grid)
+    for name in ("fit_boosted", "fit_forest", "fit_logistic"):
+        monkeypatch.setattr(classify, name, record)
+    with pytest.raises(Ended):
+        q_checks.m29_grid(spark, str(tmp_path))
+    assert goes == [(n, ["boosted"]), (n, ["boosted", "forest_binary", "forest_window", "logistic"])]
+    assert asked == [classify.REGULARISED["boosted"], classify.BINARY["forest"], classify.WINDOW["forest"], classify.REGULARISED["logistic"]]
